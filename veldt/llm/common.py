@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_shipped: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with this package shipped to the executors, which need not have it installed."""
+    sc = df.sparkSession.sparkContext
+    if _shipped.get("context") != sc.applicationId:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="veldt-ship-")) / "veldt.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((root / "veldt").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(archive))
+        _shipped["context"] = sc.applicationId
+    return df.mapInArrow(run, schema)
+
+
 def n_words(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in a text; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldt.llm import chat, mixing, secrets
+from veldt.llm import chat, mixing, near_dup, pieces, secrets
 from veldt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": lambda spark, d: near_dup.query(table(spark, d, "documents")),
     "op4_chat_formatting": lambda spark, d: chat.query(table(spark, d, "conversations")),
+    "op5_sentencepiece": lambda spark, d: pieces.query(table(spark, d, "documents")),
     "op8_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
     "op9_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
 }
