@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldt.llm import chat, mixing, near_dup, pieces, secrets
+from veldt.llm import chat, embedding_dup, mixing, near_dup, pieces, secrets, top_products
 from veldt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": lambda spark, d: near_dup.query(table(spark, d, "documents")),
+    "op2_embedding_near_dedup": lambda spark, d: embedding_dup.query(table(spark, d, "embeddings")),
+    "op3_exact_top_k": lambda spark, d: top_products.query(table(spark, d, "embeddings")),
     "op4_chat_formatting": lambda spark, d: chat.query(table(spark, d, "conversations")),
     "op5_sentencepiece": lambda spark, d: pieces.query(table(spark, d, "documents")),
     "op8_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
@@ -20,6 +22,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_exact_top_k": top_products.SQL,
     "op4_chat_formatting": chat.SQL,
     "op8_secret_scans": secrets.SQL,
     "op9_source_mixing": mixing.SQL,
