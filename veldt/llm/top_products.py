@@ -106,7 +106,8 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: int =
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
     drawn = np.array(x.orderBy("salt", "vec_id").limit(SAMPLE).select("v").toPandas()["v"].tolist(), dtype=np.float64)
-    basis = np.linalg.svd(drawn / max(1.0, np.abs(drawn).max()), full_matrices=True)[2].T if len(drawn) >= d else np.eye(d)
+    drawn /= max(1.0, np.abs(drawn).max())
+    basis = np.linalg.svd(drawn.T @ drawn)[0]  # the right singular vectors of the sample
 
     # Blocks of falling length: quantiles of the length, each dealt on to as many blocks as its rows need.
     cuts = min(LENGTHS, -(-n // BLOCK))
