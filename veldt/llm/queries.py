@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldt.llm import chat, embedding_dup, mixing, near_dup, pieces, quality, secrets, top_products
+from veldt.llm import chat, embedding_dup, lm, mixing, near_dup, pieces, quality, secrets, top_products
 from veldt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality_classifier": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
     "op9_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+    "op10_lm_scoring": lambda spark, d: lm.query(table(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
