@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldt.llm import chat, embedding_dup, lm, mixing, near_dup, pieces, quality, secrets, top_products
+from veldt.llm import chat, embedding_dup, lines, lm, mixing, near_dup, pieces, quality, secrets, top_products
 from veldt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_top_k": lambda spark, d: top_products.query(table(spark, d, "embeddings")),
     "op4_chat_formatting": lambda spark, d: chat.query(table(spark, d, "conversations")),
     "op5_sentencepiece": lambda spark, d: pieces.query(table(spark, d, "documents")),
+    "op6_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
     "op7_quality_classifier": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
     "op9_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
