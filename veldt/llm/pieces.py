@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -30,7 +31,7 @@ SPACE = "▁"
 
 
 class Cache(dict):
-    """Results by key, emptied when full; those of long keys aren't kept."""
+    """Results by key; those of long keys aren't kept. When full, the later half goes, for what is frequent comes early."""
 
     def __init__(self, make, limit: int, longest: int | None = None):
         super().__init__()
@@ -40,7 +41,9 @@ class Cache(dict):
         if self.longest is not None and len(key) > self.longest:
             return self.make(key)
         if len(self) >= self.limit:
+            kept = dict(islice(self.items(), self.limit // 2))
             self.clear()
+            self.update(kept)
         self[key] = out = self.make(key)
         return out
 
@@ -48,7 +51,7 @@ class Cache(dict):
 class Codec:
     """Encoder and decoder of one byte-pair model with an identity normaliser, a dummy prefix and byte fallback."""
 
-    def __init__(self, path: str, cached_chunks: int = 300_000, cached_pairs: int = 400_000, longest_cached: int = 40):
+    def __init__(self, path: str, cached_chunks: int = 600_000, cached_pairs: int = 400_000, longest_cached: int = 40):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,6 +104,7 @@ class Codec:
         failed = bytearray(n // 8 + 1)
         taken: list[str] = []
         tried: list[int] = []  # for each piece taken and the one to come, how many of its start's sizes are left
+        stable, alone = self.stable, self.alone
         at, left = 0, len(starts[0])
         while at < n:
             while left:
@@ -109,7 +113,7 @@ class Codec:
                 if failed[end >> 3] >> (end & 7) & 1:
                     continue
                 piece = text[at:end]
-                if self.stable[taken[-1], piece] if taken else self.alone[piece]:
+                if stable[taken[-1], piece] if taken else alone[piece]:
                     break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
