@@ -44,9 +44,8 @@ def targets(sizes: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tu
     t = t.withColumn("left_words", F.sum("source_size").over(whole) * F.lit(float(budget)) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
     t = t.withColumn("left_weight", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     t = t.withColumn("level", F.col("left_words") / F.col("left_weight"))
-    # The first source in this order that does not fill up sets the level for itself and all that follow.
-    t = t.withColumn("x", F.min(F.when(F.col("level") * F.col("weight") < F.col("most"), F.col("level"))).over(whole))
-    target = F.when(F.col("x").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("x") * F.col("weight")))
+    # Taking out a source that fills up raises the level, taking out one that does not lowers it: the highest is the level.
+    target = F.least(F.col("most"), F.max("level").over(whole) * F.col("weight"))
     return t.select("source", "source_size", target.alias("target"))
 
 
@@ -98,11 +97,9 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
                  - coalesce(sum(most) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
       FROM w),
-x AS (SELECT *, min(CASE WHEN level * weight < most THEN level END) OVER () AS x FROM l),
-t AS (SELECT k, source_size, CASE WHEN x IS NULL THEN most ELSE least(most, x * weight) END AS target,
-             CAST('0x' || substr(md5('0:' || k), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
-             CASE WHEN source_size > 0 THEN (CASE WHEN x IS NULL THEN most ELSE least(most, x * weight) END) / source_size ELSE 0 END AS rate
-      FROM x),
+x AS (SELECT k, source_size, least(most, (max(level) OVER ()) * weight) AS target FROM l),
+t AS (SELECT *, CAST('0x' || substr(md5('0:' || k), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
+             CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM x),
 r AS (SELECT c.*, row_number() OVER (PARTITION BY k ORDER BY class, salt, size, doc_id) AS place FROM c)
 SELECT doc_id, size, source_size, target,
        CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) * size AS taken,
