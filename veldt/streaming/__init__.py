@@ -1,0 +1 @@
+"""Streams are not part of the engine's surface: statements are one-shot. Results are DataFrames, so a caller may go on from there."""
