@@ -7,7 +7,7 @@ Classes: the `HEAD` most frequent tokens are classes of their own; every other t
 classes by a hash of its last three characters, so the class of any string is known without a table. The neural model
 predicts a token's class from the classes of the two tokens before it: the context vector is the sum of a matrix for each
 position times that position's class vector, the score of a class its product with the context vector plus a bias.
-Each task trains a copy on its own documents, a fixed share of the positions of every document, against noise classes
+A fixed share of the positions of every training document is written down; each task trains a copy on its part of them against noise classes
 drawn from the unigram distribution (noise-contrastive estimation); the copies are averaged with the tokens they saw as
 weights, and that is done `ROUNDS` times. With 1024 classes and two context positions all contexts' normalisers fit a
 table, which batched matrix products fill, so the log-probabilities are normalised, not estimated.
@@ -45,7 +45,6 @@ START = CLASSES - 1
 #: One position in SHARE of a training document's trains the neural model in each round.
 SHARE = 8
 HOT = 1 << 17
-END = xxhash.xxh3_64_intdigest(b"\n<end>")  # no word holds a line break
 
 
 def tail_class(word: bytes) -> int:
@@ -53,70 +52,116 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace")[-3:].encode()) % TAILS
 
 
-class Tokens(dict):
-    """word -> (64-bit hash as signed, tail class); the later half goes when full."""
+class Lookup:
+    """Sorted tokens with a number each."""
+
+    def __init__(self, tokens: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.numbers = tokens[order], numbers[order]
 
-    def __init__(self, limit: int = 300_000):
+    def of(self, tokens: np.ndarray, absent: int) -> np.ndarray:
+        if not len(self.tokens):
+            return np.full(len(tokens), absent)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.numbers[at], absent)
+
+
+class Words(dict):
+    """Words as small numbers, with what is known of each in arrays by number; number 0 is the end token.
+
+    What is derived of a word is worked out once, when it is first met. Between texts, `trim` drops the later half of the
+    numbers when there are more than `limit`, for what is frequent comes early.
+    """
+
+    def __init__(self, head: Lookup | None = None, often: Lookup | None = None, limit: int = 400_000):
         super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= self.limit:
-            for k in list(self)[self.limit // 2 :]:
-                del self[k]
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = out = (h - (1 << 64) if h >= 1 << 63 else h, tail_class(word))
+        self.limit, self.head, self.often = limit, head, often
+        self.hash = np.zeros(1 << 16, np.int64)
+        self.tail, self.cls, self.n = (np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64))
+        self[b"\n<end>"] = 0
+        self.done = 0
+        self._derive([b"\n<end>"])
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        self.fresh.append(word)
+        return i
+
+    def _derive(self, fresh: list[bytes]) -> None:
+        upto = self.done + len(fresh)
+        while upto > len(self.hash):
+            for name in ("hash", "tail", "cls", "n"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        new = slice(self.done, upto)
+        self.hash[new] = np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], np.uint64).view(np.int64)
+        self.tail[new] = [tail_class(w) for w in fresh]
+        if self.head is not None:
+            at = self.head.of(self.hash[new], -1)
+            self.cls[new] = np.where(at < 0, HEAD + self.tail[new], at)
+        if self.often is not None:
+            self.n[new] = self.often.of(self.hash[new], 0)
+        self.done = upto
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's tokens, the end included."""
+        self.fresh: list[bytes] = []
+        ws = words(text)
+        out = np.zeros(len(ws) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+        if self.fresh:
+            self._derive(self.fresh)
         return out
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and tail classes of a text's tokens, the end included."""
-        pairs = list(map(self.__getitem__, words(text)))
-        pairs.append((END - (1 << 64) if END >= 1 << 63 else END, TAILS - 1))
-        both = np.array(pairs, dtype=np.int64)
-        return both[:, 0], both[:, 1]
+    def trim(self) -> bool:
+        if len(self) <= self.limit:
+            return False
+        for w in list(self)[self.limit // 2 :]:
+            del self[w]
+        self.done = len(self)
+        return True
 
 
 def trains(doc_id: int | None, folds: int = 7, held: int = 2) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % folds != held
 
 
-def _count(docs: DataFrame, most: int = 200_000) -> DataFrame:
+def _count(docs: DataFrame) -> DataFrame:
     """(token, tail, n): how often each token occurs in the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, total = Tokens(), [], 0
+        known = Words()
+        n = np.zeros(len(known.hash), np.int64)
 
         def out() -> pa.RecordBatch:
-            both = np.concatenate(held)
-            token, first, n = np.unique(both[:, 0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(both[first, 1], pa.int32()), pa.array(n)], names=["token", "tail", "n"])
+            at = np.nonzero(n)[0]
+            return pa.RecordBatch.from_arrays([pa.array(known.hash[at]), pa.array(known.tail[at], pa.int32()), pa.array(n[at])], names=["token", "tail", "n"])
 
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 if trains(doc.as_py()):
-                    held.append(np.stack(tokens.of(text.as_py()), 1))
-                    total += len(held[-1])
-                    if total >= 5 * most:
+                    found = np.bincount(known.of(text.as_py()))
+                    if len(n) < len(known.hash):
+                        n = np.concatenate([n, np.zeros(len(known.hash) - len(n), np.int64)])
+                    n[: len(found)] += found
+                    if len(known) > known.limit:
                         yield out()
-                        held, total = [], 0
-        if held:
+                        n[:] = 0
+                        known.trim()
+        if n.any():
             yield out()
 
     return map_arrow(docs, run, "token long, tail int, n long").groupBy("token").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
-class Lookup:
-    """Sorted tokens with a number each."""
-
-    def __init__(self, tokens: np.ndarray, numbers: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.numbers = tokens[order], numbers[order]
-
-    def of(self, tokens: np.ndarray, absent: int) -> np.ndarray:
-        if not len(self.tokens):
-            return np.full(len(tokens), absent)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.numbers[at], absent)
+def _by_class(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(CLASSES, DIM): sums of the rows of each class."""
+    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    order = np.argsort(w, kind="stable")
+    w = w[order]
+    starts = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1])
+    out[w[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
 
 
 class Model:
@@ -131,6 +176,9 @@ class Model:
         self.c1, self.c2 = (np.eye(DIM, dtype=np.float32) for _ in range(2))
         self.unigram = unigram
         self.b = np.log(unigram).astype(np.float32)
+        self.lift = np.log(NOISE * unigram).astype(np.float32)
+        self.cumulated = np.cumsum(unigram)
+        self.cumulated[-1] = 1.0
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -144,32 +192,25 @@ class Model:
 
     def learn(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, rng: np.random.Generator, state: dict, rate: float) -> None:
         """One step of noise-contrastive estimation with AdaGrad; a batch shares its noise samples."""
-        noise = rng.choice(CLASSES, NOISE, p=self.unigram)
+        noise = np.searchsorted(self.cumulated, rng.random(NOISE))
         r1, r2 = self.r[w1], self.r[w2]
         h = r1 @ self.c1 + r2 @ self.c2
-        lift = np.log(NOISE * self.unigram)
-        own = np.einsum("ij,ij->i", h, self.q[w]) + self.b[w] - lift[w]
-        other = h @ self.q[noise].T + self.b[noise] - lift[noise]
-        g_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # how far a true class is from being told from noise
-        g_other = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        n = len(w)
-        dh = (g_own[:, None] * self.q[w] + g_other @ self.q[noise]) / n
-        hot = np.zeros((CLASSES, n), np.float32)
-        hot[w, np.arange(n)] = 1
-        dq, db = hot @ (g_own[:, None] * h), hot @ g_own
+        q, q_noise = self.q[w], self.q[noise]
+        own = (h * q).sum(1) + self.b[w] - self.lift[w]
+        other = h @ q_noise.T + (self.b[noise] - self.lift[noise])
+        n = np.float32(len(w))
+        g_own = 1 / (1 + np.exp(np.clip(own, -30, 30))) / n  # how far a true class is from being told from noise
+        g_other = -1 / (1 + np.exp(-np.clip(other, -30, 30))) / n
+        dh = g_own[:, None] * q + g_other @ q_noise
+        dq, db = _by_class(w, g_own[:, None] * h), np.bincount(w, g_own, CLASSES).astype(np.float32)
         np.add.at(dq, noise, g_other.T @ h)
         np.add.at(db, noise, g_other.sum(0))
-        hot[:] = 0
-        hot[w1, np.arange(n)] = 1
-        dr = hot @ (dh @ self.c1.T)
-        hot[:] = 0
-        hot[w2, np.arange(n)] = 1
-        dr += hot @ (dh @ self.c2.T)
-        for name, d in (("r", dr), ("q", dq / n), ("b", db / n), ("c1", r1.T @ dh), ("c2", r2.T @ dh)):
+        dr = _by_class(w1, dh @ self.c1.T) + _by_class(w2, dh @ self.c2.T)
+        for name, d in (("r", dr), ("q", dq), ("b", db), ("c1", r1.T @ dh), ("c2", r2.T @ dh)):
             m = getattr(self, name)
             s = state.setdefault(name, np.full(m.shape, 1e-8, np.float32))
             s += d * d
-            m += (rate * d / np.sqrt(s)).astype(np.float32)
+            m += np.float32(rate) * d / np.sqrt(s)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural-log tables: the score of class w after w1 at one back, after w2 at two back, and the normaliser of (w2, w1)."""
@@ -183,49 +224,59 @@ class Model:
         return one, two, z
 
 
-def _classes(hashes: np.ndarray, tails: np.ndarray, head: Lookup) -> np.ndarray:
-    at = head.of(hashes, -1)
-    return np.where(at < 0, HEAD + tails, at)
+def _positions(docs: DataFrame, head: Lookup) -> DataFrame:
+    """(w2, w1, w): arrays of the classes at every SHARE-th place of each training document, from a place of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = Words(head), [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(held, 1).astype(np.int16)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int16())) for x in rows], names=["w2", "w1", "w"])
+
+        for b in batches:
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                if trains(doc.as_py()):
+                    numbers = known.of(text.as_py())
+                    c = np.concatenate([[START, START], known.cls[numbers]])
+                    at = np.arange(zlib.crc32(f"{doc.as_py()}/{len(c)}".encode()) % SHARE, len(c) - 2, SHARE)
+                    held.append(np.stack([c[at], c[at + 1], c[at + 2]]))
+                    size += len(at)
+                    known.trim()
+                    if size >= 64 * BATCH:
+                        yield out()
+                        held, size = [], 0
+        if size:
+            yield out()
+
+    return materialize(map_arrow(docs, run, "w2 array<short>, w1 array<short>, w array<short>"), "positions")
 
 
 def _train(docs: DataFrame, head: Lookup, unigram: np.ndarray) -> Model:
     model = Model(unigram)
+    positions = _positions(docs, head)
     sc = docs.sparkSession.sparkContext
     for turn in range(ROUNDS):
-        shared = sc.broadcast((model, head))
+        shared = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            (start, first), tokens, state = shared.value, Tokens(), {}
+            start, state, seen = shared.value, {}, 0
             m = Model(start.unigram)
             m.load(start.flat())
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-            seen, held, size = 0, [], 0
-
-            def step(rows: np.ndarray) -> None:
-                rows = rows[rng.permutation(len(rows))]
-                for at in range(0, len(rows), BATCH):
-                    x = rows[at : at + BATCH]
-                    m.learn(x[:, 0], x[:, 1], x[:, 2], rng, state, 0.1)
-
             for b in batches:
-                for doc, text in zip(b.column(0), b.column(1), strict=True):
-                    if trains(doc.as_py()):
-                        c = np.concatenate([[START, START], _classes(*tokens.of(text.as_py()), first)])
-                        at = np.arange(rng.integers(SHARE), len(c) - 2, SHARE)
-                        held.append(np.stack([c[at], c[at + 1], c[at + 2]], 1))
-                        size += len(at)
-                        if size >= 64 * BATCH:
-                            step(np.concatenate(held))
-                            seen, held, size = seen + size, [], 0
-            if size:
-                step(np.concatenate(held))
-                seen += size
+                for k in range(b.num_rows):
+                    x = np.stack([np.asarray(c[k].values, dtype=np.int64) for c in b.columns])
+                    x = x[:, rng.permutation(x.shape[1])]
+                    for at in range(0, x.shape[1], BATCH):
+                        m.learn(*x[:, at : at + BATCH], rng, state, 0.1)
+                    seen += x.shape[1]
             if seen:
                 flat = m.flat().astype(np.float64) * seen
                 rows = np.resize(flat, (-(-len(flat) // 1024), 1024))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([float(seen)] * len(rows)), pa.array(list(rows), pa.list_(pa.float64()))], names=["row", "seen", "x"])
 
-        copies = map_arrow(docs, run, "row int, seen double, x array<double>").select("row", "seen", F.posexplode("x").alias("at", "x"))
+        copies = map_arrow(positions, run, "row int, seen double, x array<double>").select("row", "seen", F.posexplode("x").alias("at", "x"))
         averaged = copies.groupBy("row", "at").agg((F.sum("x") / F.sum("seen")).alias("x")).toPandas().sort_values(["row", "at"])  # as many rows as the model has weights
         if not len(averaged):
             break
@@ -260,27 +311,28 @@ def score(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((head, hot, one, two, z, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (first, often, one, two, z, share), tokens, rows = shared.value, Tokens(), 0
+        (first, often, one, two, z, share), rows = shared.value, 0
+        known_words = Words(first, often)
         part = TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 out = []
                 for doc, text in zip(b.column(0), b.column(1), strict=True):
-                    h, tail = tokens.of(text.as_py())
-                    c = _classes(h, tail, first)
+                    at_ = known_words.of(text.as_py())
+                    c, tail, n = known_words.cls[at_], known_words.tail[at_], known_words.n[at_]
                     before = np.concatenate([[START, START], c])
                     w2, w1 = before[:-2], before[1:-1]
                     own = (one[w1, c] + two[w2, c] - z[w2, w1]).astype(np.float64).sum() / np.log(10)
                     is_tail = c >= HEAD
                     own += share[tail[is_tail]].sum()
-                    n = often.of(h, 0)
                     known = n > 0
                     base = np.log10(n[known] + 1.0).sum()
                     own += np.log10(n[known & is_tail] + 1.0).sum()
-                    rare, times = np.unique(h[~known], return_counts=True)
-                    out.append((part + rows, doc.as_py(), not trains(doc.as_py()), len(h), int(known.sum()), base, own, rare, times))
+                    rare, times = np.unique(known_words.hash[at_[~known]], return_counts=True)
+                    out.append((part + rows, doc.as_py(), not trains(doc.as_py()), len(c), int(known.sum()), base, own, rare, times))
                     rows += 1
+                    known_words.trim()
                 cols = list(zip(*out, strict=True))
                 kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 if out:
