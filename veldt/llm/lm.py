@@ -103,15 +103,19 @@ class Words(dict):
             self.n[new] = self.often.of(self.hash[new], 0)
         self.done = upto
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Numbers of a text's tokens, the end included."""
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' tokens, one text after the other, ends included; and each text's number of tokens."""
         self.fresh: list[bytes] = []
-        ws = words(text)
-        out = np.zeros(len(ws) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+        found = [words(t) for t in texts]
+        sizes = np.array([len(w) + 1 for w in found], np.int64)
+        out = np.zeros(int(sizes.sum()), np.int64)
+        start = 0
+        for w in found:
+            out[start : start + len(w)] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+            start += len(w) + 1
         if self.fresh:
             self._derive(self.fresh)
-        return out
+        return out, sizes
 
     def trim(self) -> bool:
         if len(self) <= self.limit:
@@ -126,6 +130,24 @@ def trains(doc_id: int | None, folds: int = 7, held: int = 2) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % folds != held
 
 
+def _groups(batches: Iterator[pa.RecordBatch], training: bool, chars: int = 400_000) -> Iterator[tuple[list, list]]:
+    """Ids and texts, some hundred thousand characters at a time."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for doc, text in zip(b.column(0), b.column(1), strict=True):
+            doc = doc.as_py()
+            if training and not trains(doc):
+                continue
+            ids.append(doc)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= chars or len(ids) >= 1000:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _count(docs: DataFrame) -> DataFrame:
     """(token, tail, n): how often each token occurs in the training documents."""
 
@@ -137,17 +159,15 @@ def _count(docs: DataFrame) -> DataFrame:
             at = np.nonzero(n)[0]
             return pa.RecordBatch.from_arrays([pa.array(known.hash[at]), pa.array(known.tail[at], pa.int32()), pa.array(n[at])], names=["token", "tail", "n"])
 
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                if trains(doc.as_py()):
-                    found = np.bincount(known.of(text.as_py()))
-                    if len(n) < len(known.hash):
-                        n = np.concatenate([n, np.zeros(len(known.hash) - len(n), np.int64)])
-                    n[: len(found)] += found
-                    if len(known) > known.limit:
-                        yield out()
-                        n[:] = 0
-                        known.trim()
+        for _, texts in _groups(batches, True):
+            found = np.bincount(known.of(texts)[0])
+            if len(n) < len(known.hash):
+                n = np.concatenate([n, np.zeros(len(known.hash) - len(n), np.int64)])
+            n[: len(found)] += found
+            if len(known) > known.limit:
+                yield out()
+                n[:] = 0
+                known.trim()
         if n.any():
             yield out()
 
@@ -234,18 +254,18 @@ def _positions(docs: DataFrame, head: Lookup) -> DataFrame:
             rows = np.concatenate(held, 1).astype(np.int16)
             return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int16())) for x in rows], names=["w2", "w1", "w"])
 
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                if trains(doc.as_py()):
-                    numbers = known.of(text.as_py())
-                    c = np.concatenate([[START, START], known.cls[numbers]])
-                    at = np.arange(zlib.crc32(f"{doc.as_py()}/{len(c)}".encode()) % SHARE, len(c) - 2, SHARE)
-                    held.append(np.stack([c[at], c[at + 1], c[at + 2]]))
-                    size += len(at)
-                    known.trim()
-                    if size >= 64 * BATCH:
-                        yield out()
-                        held, size = [], 0
+        for ids, texts in _groups(batches, True):
+            numbers, sizes = known.of(texts)
+            classes, ends = known.cls[numbers], np.cumsum(sizes)
+            for doc, end, n in zip(ids, ends, sizes, strict=True):
+                c = np.concatenate([[START, START], classes[end - n : end]])
+                at = np.arange(zlib.crc32(f"{doc}/{n}".encode()) % SHARE, n, SHARE)
+                held.append(np.stack([c[at], c[at + 1], c[at + 2]]))
+                size += len(at)
+            known.trim()
+            if size >= 64 * BATCH:
+                yield out()
+                held, size = [], 0
         if size:
             yield out()
 
@@ -312,31 +332,35 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, often, one, two, z, share), rows = shared.value, 0
-        known_words = Words(first, often)
-        part = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                out = []
-                for doc, text in zip(b.column(0), b.column(1), strict=True):
-                    at_ = known_words.of(text.as_py())
-                    c, tail, n = known_words.cls[at_], known_words.tail[at_], known_words.n[at_]
-                    before = np.concatenate([[START, START], c])
-                    w2, w1 = before[:-2], before[1:-1]
-                    own = (one[w1, c] + two[w2, c] - z[w2, w1]).astype(np.float64).sum() / np.log(10)
-                    is_tail = c >= HEAD
-                    own += share[tail[is_tail]].sum()
-                    known = n > 0
-                    base = np.log10(n[known] + 1.0).sum()
-                    own += np.log10(n[known & is_tail] + 1.0).sum()
-                    rare, times = np.unique(known_words.hash[at_[~known]], return_counts=True)
-                    out.append((part + rows, doc.as_py(), not trains(doc.as_py()), len(c), int(known.sum()), base, own, rare, times))
-                    rows += 1
-                    known_words.trim()
-                cols = list(zip(*out, strict=True))
-                kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds_, strict=True)], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "rare", "times"])
+        known, part = Words(first, often), TaskContext.get().partitionId() << 40
+        for ids, texts in _groups(batches, False):
+            numbers, sizes = known.of(texts)
+            starts = np.cumsum(sizes) - sizes
+            c, tail, n = known.cls[numbers], known.tail[numbers], known.n[numbers]
+            w1, w2 = np.roll(c, 1), np.roll(c, 2)
+            w1[starts] = w2[starts] = START
+            w2[(starts + 1)[sizes > 1]] = START
+            seen, is_tail = n > 0, c >= HEAD
+            base = np.where(seen, np.log10(n + 1.0), 0.0)
+            own = (one[w1, c] + two[w2, c] - z[w2, w1]) / np.log(10) + np.where(is_tail, share[tail] + base, 0.0)
+            of = np.repeat(np.arange(len(ids)), sizes)[~seen]
+            rare = known.hash[numbers[~seen]]
+            order = np.lexsort((rare, of))
+            of, rare = of[order], rare[order]
+            new = np.ones(len(rare), bool)
+            new[1:] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
+            at = np.nonzero(new)[0]
+            times = np.diff(np.append(at, len(rare)))
+            cuts = pa.array(np.searchsorted(of[at], np.arange(len(ids) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part + rows + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array([not trains(i) for i in ids]), pa.array(sizes), pa.array(np.add.reduceat(seen.astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts)), pa.ListArray.from_arrays(cuts, pa.array(rare[at])), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "rare", "times"],
+            )
+            rows += len(ids)
+            known.trim()
 
     placed = materialize(map_arrow(docs, run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<long>, times array<long>"), "placed")
     rare = placed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
