@@ -72,7 +72,8 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
     """(repo, spans): for each row of docs its spans, structs of start, kind number, end, n_repos, n_owners, live, in order."""
     found = materialize(candidates(docs, repo_col, owner_col), "secrets")
-    judged = found.join(ownership(found), "digest", "left")
+    # Rows without a candidate, which are most, take no part in the join: null keys would all meet in one task.
+    judged = found.filter("digest is not null").join(ownership(found), "digest").unionByName(found.filter("digest is null"), allowMissingColumns=True)
     live = F.col("n_owners") <= most_owners
     keep = F.col("kind").isNotNull() & ((F.col("kind") < len(BASE)) | live)
     span = F.when(keep, F.struct("start", "kind", "end", "n_repos", "n_owners", live.alias("live")))
