@@ -32,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors.
+
+    release: then have the driver's JVM collect its garbage, on which Spark deletes the shuffle files of ended jobs; without
+    it they stay until the driver's heap fills up.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldt-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     if not _scratch:
         atexit.register(clear_scratch)
     _scratch.append((spark, path))

@@ -1,10 +1,10 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct words (48-bit hashes). Tokens are ordered by rarity: their corpus-wide number of occurrences,
-counted for each of BUCKETS hash buckets (a table of fixed size, so it can be broadcast), then by hash. Any fixed order
+counted for each of BUCKETS hash buckets (a table of fixed size, so it can be handed to every task), then by hash. Any fixed order
 makes the filters exact; rarity makes them sharp. Lines of n tokens that reach a Jaccard similarity of p percent
 share one of their n - ceil(p * n / 100) + 1 rarest tokens (prefix filter), differ in size by no more than p percent (length
-filter), and have room for the tokens they must share after the places of the shared one (positional filter). A 64-bit
+filter), and have room for the tokens they must share after the places of the shared one (positional filter). A 95-bit
 parity sketch of the tokens rules out pairs whose sketches differ in more bits than a linked pair's tokens can.
 
 Lines of equal sets are one class from the start. In the bucket of each prefix token the smallest class is compared first
@@ -22,7 +22,9 @@ remove each other; other columns pass through; an empty table gives an empty res
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm.common import materialize
@@ -33,35 +35,40 @@ BUCKETS, MANY, LEAST_WORDS, PERCENT = 1 << 16, 4096, 5, 80
 FILTER_LONGS = 1 << 16
 
 
-def _tokens(line: Column) -> Column:
-    """The hashes of a line's words, as often as they occur."""
-    plain = F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
-    return F.transform(plain, lambda w: F.shiftrightunsigned(F.xxhash64(w), 16))
+def _once(value: Column) -> Column:
+    """A generator of the value alone: what is above it can't make the value be worked out more than once."""
+    return F.explode(F.array(value))
 
 
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, line_no, hashes): the lines of least_words words or more, with distinct sorted token hashes."""
     d = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    d = d.select("doc_id", "line_no", _tokens(F.col("line")).alias("hashes")).filter(F.size("hashes") >= least_words)
-    return d.select("doc_id", "line_no", F.array_sort(F.array_distinct("hashes")).alias("hashes"))
+    # Cheap and necessary: so many words need so many characters. The exact rule follows.
+    d = d.filter(F.length("line") >= 2 * least_words - 1)
+    words = F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " ")
+    hashes = F.array_remove(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 16)), F.shiftrightunsigned(F.xxhash64(F.lit("")), 16))
+    d = d.select("doc_id", "line_no", _once(hashes).alias("hashes")).filter(F.size("hashes") >= least_words)
+    return d.select("doc_id", "line_no", _once(F.sort_array(F.array_distinct("hashes"))).alias("hashes"))
 
 
-def _rarity(docs: DataFrame) -> DataFrame:
-    """One row: array `rarity` of BUCKETS classes of 15 bits, larger for buckets whose tokens occur more often."""
+def _rarity(docs: DataFrame) -> Column:
+    """A constant array of BUCKETS levels, larger for buckets whose tokens occur more often."""
     flat = F.translate(F.coalesce("text", F.lit("")), "\n\t\x0b\x0c\r", "     ")
     words = docs.select(F.explode(F.split(flat, " ")).alias("w")).filter("w != ''")
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 16).bitwiseAND(BUCKETS - 1).cast("int")
-    counted = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    # Levels of an eighth of a doubling keep the order and fit 15 bits.
-    level = F.floor(F.log2(F.col("n").cast("double")) * 256).cast("int")
-    filled = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
-    one = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce(level, F.lit(0)).alias("level")))), lambda x: x["level"]).alias("rarity"))
-    return materialize(one, "rarity")
+    counted = {r["bucket"]: r["n"] for r in words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS rows
+    # A logarithm keeps the order and fits the 15 bits above a token's 48.
+    levels = (int(math.log2(counted[i]) * 256) if i in counted else 0 for i in range(BUCKETS))
+    return F.split(F.lit(" ".join(map(str, levels))), " ").cast("array<bigint>")
 
 
 def _sketch(hashes: Column) -> Column:
-    """64 parities: bit i counts, modulo 2, the tokens whose hash falls on i."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(63).cast("int"))))
+    """95 parities, a: 64, b: 31. A bit counts, modulo 2, the tokens whose hash falls on it."""
+    at = lambda h: F.shiftrightunsigned(h, 17).cast("int")
+    in_a = lambda h: F.shiftrightunsigned(h, 30).bitwiseAND(255) < 171
+    bit = lambda h, one, kind, mine, n=64: F.when(mine, F.call_function("shiftleft", F.lit(one).cast(kind), F.pmod(at(h), F.lit(n)))).otherwise(F.lit(0).cast(kind))
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("int").alias("b"))
+    return F.aggregate(hashes, start, lambda acc, h: F.struct(acc["a"].bitwiseXOR(bit(h, 1, "long", in_a(h))).alias("a"), acc["b"].bitwiseXOR(bit(h, 1, "int", ~in_a(h), 31)).alias("b")))
 
 
 def _bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -75,9 +82,9 @@ def _bitmap(keys: DataFrame, key: str) -> DataFrame:
     return materialize(row, "bits")
 
 
-def _may_hold(bits: Column, key: Column) -> Column:
+def _may_hold(bitmap: DataFrame, key: Column) -> Column:
     h = F.xxhash64(key)
-    word = F.get(bits, F.pmod(F.shiftrightunsigned(h, 8), F.lit(FILTER_LONGS)).cast("int"))
+    word = F.get(bitmap.scalar(), F.pmod(F.shiftrightunsigned(h, 8), F.lit(FILTER_LONGS)).cast("int"))
     return F.call_function("getbit", word, h.bitwiseAND(63).cast("int")) == 1
 
 
@@ -87,11 +94,11 @@ def _sid(hashes: Column) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, least_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose token sets link. Token sets come from the texts of the classes named only."""
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", release=True)
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    lines = _lines(docs, least_words).select(_sid(F.col("hashes")).alias("sid"), "hashes").crossJoin(F.broadcast(_bitmap(named, "sid")))
-    sets = lines.filter(_may_hold(F.col("bits"), F.col("sid"))).groupBy("sid").agg(F.first("hashes").alias("hashes")).join(named, "sid", "left_semi")
-    sets = materialize(sets, "sets")
+    lines = _lines(docs, least_words).select(_sid(F.col("hashes")).alias("sid"), "hashes")
+    sets = lines.filter(_may_hold(_bitmap(named, "sid"), F.col("sid"))).groupBy("sid").agg(F.first("hashes").alias("hashes")).join(named, "sid", "left_semi")
+    sets = materialize(sets, "sets", release=True)
     j = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
     j = j.withColumn("common", F.size(F.array_intersect("ha", "hb")))
     return j.filter(F.col("common") * 100 >= percent * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b")
@@ -101,34 +108,39 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
     """(doc_id, gone): for each document that loses lines their numbers, from 0."""
     slim = materialize(_lines(docs, least_words).select("doc_id", "line_no", _sid(F.col("hashes")).alias("sid")), "lines")
     classes = slim.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", release=True)
     total = slim.count()
     many = classes.filter(F.col("n") >= max(2, -(-total // MANY))).select("sid", "first")  # at most MANY rows
 
-    lines = _lines(docs, least_words).crossJoin(F.broadcast(_rarity(docs)))
-    lines = lines.select("doc_id", "line_no", _sid(F.col("hashes")).alias("sid"), _sketch(F.col("hashes")).alias("sketch"), F.size("hashes").alias("n"),
-        F.array_sort(F.transform("hashes", lambda h: F.call_function("shiftleft", F.get("rarity", h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(48)).bitwiseOR(h))).alias("ordered"))
-    lines = lines.join(F.broadcast(many), "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no")))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rows = lines.select("sid", "sketch", "n", F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "token"))
-    rows = rows.select((F.col("token") % 2147483647).cast("int").alias("token"), "sid", "sketch", F.col("n"), F.col("pos"))
-    rows = rows.repartition("token").dropDuplicates(["token", "sid"])
-    bucket = Window.partitionBy("token")
-    members = rows.withColumn("lead", F.min(F.struct("sid", "sketch", "n", "pos")).over(bucket)).withColumn("last", F.max("sid").over(bucket)).filter(F.col("lead.sid") != F.col("last")).drop("last")
-    members = materialize(members, "members")
+    lines = _lines(docs, least_words).withColumn("sid", _sid(F.col("hashes"))).join(F.broadcast(many), "sid", "left")
+    lines = lines.filter(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no")))
+    level = _rarity(docs)
+    ordered = F.sort_array(F.transform("hashes", lambda h: F.call_function("shiftleft", F.get(level, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(48)).bitwiseOR(h)))
+    n = F.size("hashes")
+    prefix = n - F.ceil(n * percent / 100).cast("int") + 1
+    lines = lines.select("sid", n.alias("n"), _once(F.struct(_sketch(F.col("hashes")).alias("sketch"), F.slice(ordered, F.lit(1), prefix).alias("prefix"))).alias("x"))
+    rows = lines.select("sid", "x.sketch.a", "x.sketch.b", "n", F.posexplode("x.prefix").alias("pos", "token"))
+    # One exchange by token serves the leads and the join. All columns are looked at, so that all sides ask for the same.
+    rows = rows.select((F.col("token") % 2147483647).cast("int").alias("token"), "sid", "a", "b", "n", "pos").repartition("token")
+    leads = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b"), F.max("n").alias("n"), F.max("pos").alias("pos"))
+    leads = leads.filter("lead != last and a is not null and b is not null and n > 0 and pos >= 0").select("token", "lead")
+    members = materialize(rows.join(leads, "token"), "members", release=True)
 
     def may(x: str, y: str) -> Column:
         nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
         least = F.ceil((nx + ny) * percent / (100.0 + percent))  # tokens that a linked pair shares
-        near = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= nx + ny - 2 * least
+        near = F.bit_count(F.col(f"{x}.a").bitwiseXOR(F.col(f"{y}.a"))) + F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))) <= nx + ny - 2 * least
         return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(px, py) + F.least(nx - px, ny - py) >= least) & near
 
-    m = members.select("token", "lead", F.struct("sid", "sketch", "n", "pos").alias("own"))
-    starred = m.filter((F.col("lead.sid") != F.col("own.sid")) & may("lead", "own")).select(F.col("lead.sid").alias("a"), F.col("own.sid").alias("b")).distinct()
+    x, y = members.filter("sid = lead").drop("lead").dropDuplicates(["token"]).alias("x"), members.filter("sid != lead").drop("lead").alias("y")
+    starred = x.join(y, (F.col("x.token") == F.col("y.token")) & may("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     reached = components(_verified(starred, docs, least_words, percent))
 
-    of = members.join(reached.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    of = of.filter(F.col("lead.sid") != F.col("sid")).drop("lead")
+    # Few classes are in a component yet; the others need no join to learn that they are their own.
+    others = members.filter("sid != lead").drop("lead")
+    joined = _may_hold(_bitmap(reached, "id"), F.col("sid"))
+    inside = others.filter(joined).join(reached.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    of = others.filter(~joined).withColumn("component", F.col("sid")).unionByName(inside)
     x, y = of.alias("x"), of.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & may("x", "y"))
     rest = rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
@@ -146,14 +158,32 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with later matches of lines removed from `text`, and `__gone`, the number of lines removed."""
-    gone = materialize(removed_lines(docs.select("doc_id", "text"), percent, least_words), "gone")
-    flagged = docs.crossJoin(F.broadcast(_bitmap(gone.select("doc_id"), "doc_id")))
-    hit = F.coalesce(_may_hold(F.col("bits"), F.col("doc_id")), F.lit(False))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    changed = flagged.filter(hit).drop("bits").join(gone, "doc_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    changed = changed.select(*docs.columns, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone"))
-    return flagged.filter(~hit).select(*docs.columns, F.lit(0).cast("long").alias("__gone")).unionByName(changed)
+    gone = materialize(removed_lines(docs.select("doc_id", "text"), percent, least_words).withColumnRenamed("gone", "__lines"), "gone", release=True)
+    hit = F.coalesce(_may_hold(_bitmap(gone.select("doc_id"), "doc_id"), F.col("doc_id")), F.lit(False))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__lines", i)), "\n")
+    changed = docs.filter(hit).join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept))
+    changed = changed.select(*docs.columns, F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__gone"))
+    return docs.filter(~hit).select(*docs.columns, F.lit(0).cast("long").alias("__gone")).unionByName(changed)
 
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", F.col("__gone").alias("n_removed"), "text")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+t AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no, list_distinct(w) AS w
+      FROM (SELECT *, regexp_extract_all(line, '[^ \t\x0B\x0C\r]+') AS w FROM d) WHERE len(w) >= 5),
+x AS (SELECT id, len(w) AS n, unnest(w) AS token FROM t),
+f AS (SELECT token, count(*) AS df FROM x GROUP BY token),
+p AS (SELECT id, n, token FROM (SELECT id, n, token, row_number() OVER (PARTITION BY id ORDER BY df, token) AS place FROM x JOIN f USING (token)) WHERE place <= n - ceil(n * 0.8 - 1e-9) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.token = b.token AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(y.w, z.w)) AS common, len(y.w) + len(z.w) AS both_n FROM c JOIN t y ON y.id = a JOIN t z ON z.id = b) WHERE 100 * common >= 80 * (both_n - common)),
+low AS (SELECT b AS id, min(a) AS low FROM l GROUP BY b),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS id, b AS node FROM g UNION SELECT r.id, g.b FROM reach r JOIN g ON r.node = g.a),
+m AS (SELECT id, min(node) AS low FROM reach GROUP BY id),
+gone AS (SELECT t.doc_id, t.line_no FROM m JOIN t USING (id) JOIN t y ON y.id = m.low WHERE m.low < m.id AND (y.doc_id, y.line_no) <> (t.doc_id, t.line_no)),
+k AS (SELECT d.doc_id, count(gone.line_no) AS n_removed, string_agg(line, chr(10) ORDER BY d.line_no) FILTER (gone.line_no IS NULL) AS text FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.line_no = d.line_no GROUP BY d.doc_id)
+SELECT documents.doc_id, coalesce(n_removed, 0) AS n_removed, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id
+"""
