@@ -196,3 +196,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
 
 def query(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors)
+
+
+SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 1 ELSE 0 END)) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT a AS id, b AS node FROM l UNION SELECT r.id, l.b FROM reach r JOIN l ON r.node = l.a),
+m AS (SELECT id, min(node) AS low FROM reach GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON vec_id = m.id LEFT JOIN n ON vec_id = n.id
+"""

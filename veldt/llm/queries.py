@@ -25,8 +25,11 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dup.SQL,
+    "op2_embedding_near_dedup": embedding_dup.SQL,
     "op3_exact_top_k": top_products.SQL,
     "op4_chat_formatting": chat.SQL,
+    "op6_line_dedup": lines.SQL,
     "op8_secret_scans": secrets.SQL,
     "op9_source_mixing": mixing.SQL,
 }
