@@ -94,7 +94,8 @@ def test_trigram_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     words = rng.integers(1, 40, 4000).astype(np.uint64)
     grams, counts = np.unique(np.stack([words[:-2], words[1:-1], words[2:]], 1), axis=0, return_counts=True)
-    m = quality.Trigrams(*grams.T, counts)
+    known = np.unique(np.append(grams.ravel(), np.uint64(0)))
+    m = quality.Trigrams(known, *np.searchsorted(known, grams.T), counts)
     vocabulary = np.append(m.vocabulary, np.uint64(999))  # and one word that it never met
     for u, v in ((3, 4), (5, 777), (777, 5), (777, 778)):
         p = sum(10 ** (m.score([np.array([u, v, w], np.uint64)])[0] - m.score([np.array([u, v], np.uint64)])[0]) for w in vocabulary)
