@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -64,8 +65,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once. Whole texts are long: Spark's 10,000 would take tens of MB on either side.
+BATCH_ROWS = 1000
+
+#: In a Python worker, which Spark keeps for later tasks: what an operator holds between its tasks, and how to let it go.
+held: dict[str, Callable[[], None]] = {}
+
+
+def _alone(owner: str) -> None:
+    """Let go what other operators hold in this worker."""
+    for name in [n for n in held if n != owner]:
+        held.pop(name)()
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this package shipped to the executors, which need not have it installed."""
+    owner = run.__module__
+
+    def alone(batches):
+        _alone(owner)
+        return run(batches)
+
     sc = df.sparkSession.sparkContext
     if _shipped.get("context") != sc.applicationId:
         root = Path(__file__).resolve().parents[2]
@@ -75,7 +95,10 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
                 z.write(f, f.relative_to(root))
         sc.addPyFile(str(archive))
         _shipped["context"] = sc.applicationId
-    return df.mapInArrow(run, schema)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(alone, schema)
 
 
 def n_words(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldt.llm.common import map_arrow
+from veldt.llm.common import held, map_arrow
 
 SPACE = "▁"
 
@@ -176,7 +176,8 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec, with its caches, for each Python worker."""
+    """One codec, with its caches, for each Python worker, as long as no other operator runs there."""
+    held[__name__] = _codecs.clear
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
