@@ -128,6 +128,20 @@ def test_lm_learns_order(docs_of):
     assert sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
 
 
+def test_lm_trains_on_every_position(docs_of):
+    """Each token of each training document with the two before it, short documents and long ones alike."""
+    rows = [(i, " ".join(f"w{(i * k) % 50}" for k in range(i % 23))) for i in range(120)] + [r[:2] for r in edge_rows()]
+    head = lm.Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    written = [np.array(r.w) for r in lm._positions(docs_of(rows).select("doc_id", "text"), head).collect()]
+    want = Counter()
+    for i, t in rows:
+        if lm.trains(i):
+            c = [lm.START, lm.START] + [lm.HEAD + lm.tail_class(w) for w in [*(t or "").encode().lower().split(), b"\n<end>"]]
+            want.update(zip(c, c[1:], c[2:]))
+    assert sum(int((w != lm.START).sum()) for w in written) == sum(want.values())
+    assert sum((Counter(zip(*lm._contexts(w).tolist())) for w in written), Counter()) == want
+
+
 def test_lm_distribution_sums_to_one():
     rng = np.random.default_rng(1)
     m = lm.Model(np.full(lm.CLASSES, 1 / lm.CLASSES))

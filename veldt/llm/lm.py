@@ -7,9 +7,9 @@ Classes: the `HEAD` most frequent tokens are classes of their own; every other t
 classes by a hash of its last three characters, so the class of any string is known without a table. The neural model
 predicts a token's class from the classes of the two tokens before it: the context vector is the sum of a matrix for each
 position times that position's class vector, the score of a class its product with the context vector plus a bias.
-A fixed share of the positions of every training document is written down; each task trains a copy on its part of them against noise classes
-drawn from the unigram distribution (noise-contrastive estimation); the copies are averaged with the tokens they saw as
-weights, and that is done `ROUNDS` times. With 1024 classes and two context positions all contexts' normalisers fit a
+The classes of every training document are written down; each task trains a copy on all positions of its part of them against
+noise classes drawn from the unigram distribution (noise-contrastive estimation); the copies are averaged with the tokens
+they saw as weights, and that is done `ROUNDS` times. With 1024 classes and two context positions all contexts' normalisers fit a
 table, which batched matrix products fill, so the log-probabilities are normalised, not estimated.
 
 A token's probability is its class's times its share of the class: 1 for a head token, (c + 1) / (N_k + V_k + 1) for
@@ -42,8 +42,6 @@ from veldt.llm.common import map_arrow, materialize, words
 HEAD, TAILS, DIM, NOISE, BATCH, ROUNDS = 760, 263, 32, 128, 1024, 2
 CLASSES = HEAD + TAILS + 1
 START = CLASSES - 1
-#: One position in SHARE of a training document's trains the neural model in each round.
-SHARE = 8
 HOT = 1 << 17
 
 
@@ -245,23 +243,19 @@ class Model:
 
 
 def _positions(docs: DataFrame, head: Lookup) -> DataFrame:
-    """(w2, w1, w): arrays of the classes at every SHARE-th place of each training document, from a place of its own."""
+    """(w): arrays of the classes of whole training documents, each document after two starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = Words(head), [], 0
 
         def out() -> pa.RecordBatch:
-            rows = np.concatenate(held, 1).astype(np.int16)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int16())) for x in rows], names=["w2", "w1", "w"])
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held)], pa.list_(pa.int16()))], names=["w"])
 
-        for ids, texts in _groups(batches, True):
+        for _, texts in _groups(batches, True):
             numbers, sizes = known.of(texts)
-            classes, ends = known.cls[numbers], np.cumsum(sizes)
-            for doc, end, n in zip(ids, ends, sizes, strict=True):
-                c = np.concatenate([[START, START], classes[end - n : end]])
-                at = np.arange(zlib.crc32(f"{doc}/{n}".encode()) % SHARE, n, SHARE)
-                held.append(np.stack([c[at], c[at + 1], c[at + 2]]))
-                size += len(at)
+            classes = known.cls[numbers].astype(np.int16)
+            held.append(np.insert(classes, np.repeat(np.cumsum(sizes) - sizes, 2), START))
+            size += len(classes)
             known.trim()
             if size >= 64 * BATCH:
                 yield out()
@@ -269,7 +263,13 @@ def _positions(docs: DataFrame, head: Lookup) -> DataFrame:
         if size:
             yield out()
 
-    return materialize(map_arrow(docs, run, "w2 array<short>, w1 array<short>, w array<short>"), "positions")
+    return materialize(map_arrow(docs, run, "w array<short>"), "positions")
+
+
+def _contexts(w: np.ndarray) -> np.ndarray:
+    """(3, n): the two classes before each token, and its own, for all tokens of an array that `_positions` wrote."""
+    at = np.nonzero(w != START)[0]
+    return np.stack([w[at - 2], w[at - 1], w[at]])
 
 
 def _train(docs: DataFrame, head: Lookup, unigram: np.ndarray) -> Model:
@@ -285,8 +285,8 @@ def _train(docs: DataFrame, head: Lookup, unigram: np.ndarray) -> Model:
             m.load(start.flat())
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
             for b in batches:
-                for k in range(b.num_rows):
-                    x = np.stack([np.asarray(c[k].values, dtype=np.int64) for c in b.columns])
+                for row in b.column(0):
+                    x = _contexts(np.asarray(row.values, dtype=np.int64))
                     x = x[:, rng.permutation(x.shape[1])]
                     for at in range(0, x.shape[1], BATCH):
                         m.learn(*x[:, at : at + BATCH], rng, state, 0.1)
