@@ -19,8 +19,8 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later matches of lines go, and documents that lose all their words; n_chars follows the text."""
-    out = lines.dedup_lines(docs).filter((F.col("__gone") == 0) | F.regexp_like("text", F.lit(WORD)))
+    """Later matches of lines of any length go, and documents that lose all their words; n_chars follows the text."""
+    out = lines.dedup_lines(docs, least_words=1).filter((F.col("__gone") == 0) | F.regexp_like("text", F.lit(WORD)))
     return out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -176,6 +176,19 @@ def test_pipeline(spark, tmp_path):
     assert c.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_pipeline_drops_short_lines(spark, docs_of):
+    """Repeats of lines of one to four words go, links of four words with five (4 of 5 shared) too."""
+    import corpus_pipeline as c
+    from tests.llm.test_text import brute_lines
+
+    rows = [(i, "\n".join(["short", f"own{i} line{i} of{i} its{i}", "read more", "a b c d" + " e" * (i % 2), "", "all rights are reserved here"])) for i in range(12)]
+    rows += [(50, "short"), (51, "read  more"), (52, "more"), (53, None), (54, ""), (55, " \n ")]
+    gone = brute_lines(rows, least=1)
+    want = {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows if i not in (50, 51)}
+    assert sum(map(len, gone.values())) == 46
+    assert {r.doc_id: r.text for r in c.drop_repeated_lines(spark, docs_of(rows), "").collect()} == want
+
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

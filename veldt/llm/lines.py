@@ -15,7 +15,7 @@ number, stays; later ones are removed.
 Skew: classes that hold more than 1 / MANY of all lines, which are at most MANY, are broadcast and send one row for each token;
 others are combined after the exchange.
 
-Defined cases: lines of fewer than `least_words` words (five) are never removed and take no part; null texts have no lines and stay
+Defined cases: lines of fewer than `least_words` words (five; one in the pipeline) are never removed and take no part; null texts have no lines and stay
 null; rows with null ids stay as they are; rows that share an id are versions of one document, of which lines of one number don't
 remove each other; other columns pass through; an empty table gives an empty result.
 """
