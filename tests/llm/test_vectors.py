@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veldt.llm import embedding_dup, top_products
 
@@ -39,6 +40,21 @@ def test_links_against_brute_force(spark, monkeypatch, block):
     assert None not in got and len(got) == len(rows) + len(BAD) - 1
 
 
+def test_links_count_for_both_ends(spark):
+    """A link that one end's visit misses counts for it too: at a low recall many are found from one side only."""
+    rows = clusters(4, 200, noise=0.35)
+    got = embedding_dup.near_duplicates(table(spark, rows), recall=0.8).collect()
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embedding_dup.MultiIndex(x[np.array(spark.range(200).selectExpr("id").orderBy(F.xxhash64("id"), "id").toPandas()["id"])], 4, 0.9, 0.8)
+    visits = (index.traverse(x)[:, None, :] == index.cells(x)[None, :, None]).any(2)
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    want = (linked & (visits | visits.T)).sum(1)
+    assert (linked & visits != linked & visits.T).any()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_index_visits_near_cells_first():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 10))

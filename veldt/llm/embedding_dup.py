@@ -8,8 +8,9 @@ directions, and the rank at which a query meets its neighbour's cell is measured
 precision cosines.
 
 A cell's vectors and its visitors are dealt to blocks of bounded size; each pair of blocks is one group with a matrix
-product, which returns a count for each visitor and a spanning forest of the links it found, so a group of many copies
-never becomes a list of all its pairs.
+product, which returns counts and a spanning forest of the links it found, so a group of many copies never becomes a list
+of all its pairs. A link counts for both ends, once: for the visitor in its group, and for the member there too unless the
+member's own visit finds it.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link
 with nothing and stand for themselves; labels and other columns are ignored; a repeated id is one vector (the
@@ -135,6 +136,7 @@ def _links(vectors: DataFrame, index: MultiIndex, cosine: float, d: int) -> Data
                 # As members: once for each block of visitors of the own cell. As visitors: once for each block of members.
                 row, k = _times(qb[cell])
                 as_member = row, cell[row], salt[row] % np.maximum(mb[cell[row]], 1), k
+                visits_of = b.column(2), pa.nulls(len(ids), pa.list_(pa.int32()))  # what members visit, to know which links they find themselves
                 flat = visits.ravel()
                 row, k = _times(mb[flat])
                 who = row // visits.shape[1]
@@ -142,9 +144,9 @@ def _links(vectors: DataFrame, index: MultiIndex, cosine: float, d: int) -> Data
                 for role, (r, c, m, q) in enumerate((as_member, as_visitor)):
                     for cut in range(0, len(r), 8000):
                         s = slice(cut, cut + 8000)
-                        yield pa.RecordBatch.from_arrays([pa.array(c[s], pa.int32()), pa.array(m[s], pa.int32()), pa.array(q[s], pa.int32()), pa.array(np.full(len(r[s]), role), pa.int32()), pa.array(ids[r[s]]), b.column(3).take(pa.array(r[s]))], names=["cell", "mb", "qb", "role", "vec_id", "u"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c[s], pa.int32()), pa.array(m[s], pa.int32()), pa.array(q[s], pa.int32()), pa.array(np.full(len(r[s]), role), pa.int32()), pa.array(ids[r[s]]), b.column(3).take(pa.array(r[s])), pa.array(cell[r[s]], pa.int32()), visits_of[role].take(pa.array(r[s]))], names=["cell", "mb", "qb", "role", "vec_id", "u", "own", "visits"])
 
-    dealt = map_arrow(filed, deal, "cell int, mb int, qb int, role int, vec_id long, u array<double>")
+    dealt = map_arrow(filed, deal, "cell int, mb int, qb int, role int, vec_id long, u array<double>, own int, visits array<int>")
 
     def verify(t: pa.Table) -> pa.Table:
         role, ids = np.asarray(t.column("role")), np.asarray(t.column("vec_id"))
@@ -152,10 +154,19 @@ def _links(vectors: DataFrame, index: MultiIndex, cosine: float, d: int) -> Data
         m, q = ids[role == 0], ids[role == 1]
         linked = (u[role == 1] @ u[role == 0].T >= cosine) & (q[:, None] != m[None, :])
         lq, lm = _forest(linked, q, m)
-        n = linked.sum(1)
-        some = linked.any(0) & (lm != m)
+        n, back = linked.sum(1), np.zeros(len(m), np.int64)
+        if linked.any():
+            own, of = np.unique(np.asarray(t.column("own"))[role == 1], return_inverse=True)
+            lists_of = t.column("visits").combine_chunks().filter(pa.array(role == 0))
+            visits = np.asarray(lists_of.flatten()).reshape(len(m), -1)
+            place = np.minimum(np.searchsorted(own, visits), len(own) - 1)
+            finds = np.zeros((len(m), len(own)), bool)
+            row, k = np.nonzero(own[place] == visits)
+            finds[row, place[row, k]] = True
+            back = (linked & ~finds[:, of].T).sum(0)
+        some = linked.any(0) & ((lm != m) | (back > 0))
         at = n > 0
-        return pa.table({"id": np.concatenate([q[at], m[some]]), "links": np.concatenate([n[at], np.zeros(some.sum(), np.int64)]), "reaches": np.concatenate([lq[at], lm[some]])})
+        return pa.table({"id": np.concatenate([q[at], m[some]]), "links": np.concatenate([n[at], back[some]]), "reaches": np.concatenate([lq[at], lm[some]])})
 
     return dealt.groupBy("cell", "mb", "qb").applyInArrow(verify, "id long, links long, reaches long")
 
