@@ -95,7 +95,7 @@ def test_mixing_edges(docs_of):
     assert mixing.query(docs_of([])).collect() == [] and mixing.query(docs_of([(1, None), (2, "")])).count() == 2
 
 
-def brute_lines(rows, least=5, percent=80):
+def brute_lines(rows, least=1, percent=80):
     found = []
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):

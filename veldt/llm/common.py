@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: Scratch tables of this process that have not been deleted: path -> session.
+_scratch: dict[str, SparkSession] = {}
 _shipped: dict[str, str] = {}
 
 
@@ -33,32 +34,82 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors.
+#: Has Spark delete a query's shuffle files at its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    release: then have the driver's JVM collect its garbage, on which Spark deletes the shuffle files of ended jobs; without
-    it they stay until the driver's heap fills up.
-    """
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldt-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
     if not _scratch:
         atexit.register(clear_scratch)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _scratch[path] = spark
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def scratch_paths() -> set[str]:
+    return set(_scratch)
+
+
+def forget(*tables: DataFrame | str) -> None:
+    """Delete scratch tables that nothing will read again, given as what `materialize` returned or by their paths."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "scratch_path", None)
+        spark = _scratch.pop(path, None)
+        if spark is not None:
+            try:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            except Exception:  # the JVM has gone, and its folder with the cluster's clean-up
+                return
 
 
 def clear_scratch() -> None:
-    """Delete the scratch tables of this process; results that read them must have been written before."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM has gone, and its folder with the cluster's clean-up
-            return
+    """Delete all scratch tables of this process; results that read them must have been written before."""
+    forget(*list(_scratch))
+
+
+#: Longs of the bitmaps below: a fixed size, whatever is filed in them. As filters they may be coarse.
+FILTER_LONGS = 1 << 16
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """One row: array `bits` of FILTER_LONGS longs with a bit for each key's hash."""
+    h = F.xxhash64(key)
+    word = F.pmod(F.shiftrightunsigned(h, 8), F.lit(FILTER_LONGS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    found = keys.groupBy(word.alias("at")).agg(F.bit_or(one).alias("bits"))
+    filled = keys.sparkSession.range(FILTER_LONGS).select(F.col("id").alias("at")).join(found, "at", "left")
+    row = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+    return materialize(row, "bits")
+
+
+def may_hold(bits: DataFrame, key: Column) -> Column:
+    """False only where the bitmap's keys lack this one."""
+    h = F.xxhash64(key)
+    word = F.get(bits.scalar(), F.pmod(F.shiftrightunsigned(h, 8), F.lit(FILTER_LONGS)).cast("int"))
+    return F.call_function("getbit", word, h.bitwiseAND(63).cast("int")) == 1
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(name: str, names: list[str]) -> str:
+    """name, lengthened until no column has it."""
+    while any(n.lower() == name for n in names):
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

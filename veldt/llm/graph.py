@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import materialize
+from veldt.llm.common import forget, materialize
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """edges (a, b) of long ids, in any direction -> (id, component) for each id that is not the smallest of its own.
 
-    Every round is written to the shared folder; only counts and a checksum come to the driver. When a round changes
+    Every round is written to the shared folder, in place of the one before; only counts and a checksum come to the driver. When a round changes
     nothing, each edge leads from a node to the smallest id of its component. Ids with a null end are left out.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
@@ -34,5 +34,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or now[0] == 0:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before, e = now, materialize(_small(_large(e)), "edges")
+        old, before, e = e, now, materialize(_small(_large(e)), "edges")
+        forget(old)
     raise RuntimeError("components did not settle")

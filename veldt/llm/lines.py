@@ -1,169 +1,427 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
-
-A line's tokens are its distinct words (48-bit hashes). Tokens are ordered by rarity: their corpus-wide number of occurrences,
-counted for each of BUCKETS hash buckets (a table of fixed size, so it can be handed to every task), then by hash. Any fixed order
-makes the filters exact; rarity makes them sharp. Lines of n tokens that reach a Jaccard similarity of p percent
-share one of their n - ceil(p * n / 100) + 1 rarest tokens (prefix filter), differ in size by no more than p percent (length
-filter), and have room for the tokens they must share after the places of the shared one (positional filter). A 95-bit
-parity sketch of the tokens rules out pairs whose sketches differ in more bits than a linked pair's tokens can.
-
-Lines of equal sets are one class from the start. In the bucket of each prefix token the smallest class is compared first
-with all others (rows, not pairs), links are joined to components, and only members of different components that pass the filters are
-compared after that. Similarity is verified on the full token sets. Of each component the first line, by document and line
-number, stays; later ones are removed.
-
-Skew: classes that hold more than 1 / MANY of all lines, which are at most MANY, are broadcast and send one row for each token;
-others are combined after the exchange.
-
-Defined cases: lines of fewer than `least_words` words (five; one in the pipeline) are never removed and take no part; null texts have no lines and stay
-null; rows with null ids stay as they are; rows that share an id are versions of one document, of which lines of one number don't
-remove each other; other columns pass through; an empty table gives an empty result.
+"""Line dedup by an exact set-similarity join.
+
+A line's tokens are its distinct words. They stand by rarity: their number of occurrences in the whole table, counted for each of
+BUCKETS hash buckets and rounded to a quarter of a power of two (a table of fixed size), then their hash. Any fixed order makes the filters
+exact; rarity makes them sharp. Lines of n tokens that reach a Jaccard similarity of p percent share one of their
+n - ceil(p * n / 100) + 1 rarest tokens (prefix filter), differ in size by no more than p percent (length filter), and have
+room for the tokens they must share before and after the places of the shared one (positional filter). A parity sketch of the tokens,
+64 bits or for longer lines 128, rules out pairs whose sketches differ in more bits than a linked pair's tokens can. Similarity is
+verified on the full sets. Of each component of links the first line, by document and line number, stays; later ones are removed.
+
+The texts are read three times, in Arrow batches: for the classes of lines (lines of equal sets, named by a 128-bit hash, are one class from
+the start) and the counts; for the prefix rows; and, of the lines that a pair names, for their sets. The prefix rows are shuffled
+by token, once, and never written down. Inside a task the rows of a token are compared with numpy, many tokens at a time.
+What leaves the task of a group of candidates is a row for each member, not for each pair: an edge to one other member, and,
+where more pairs than these edges pass the filters, its membership in the group. Edges are verified and joined to components; only groups that then
+hold several components are compared once more, on their full sets, in the blocks of `blocks.linked`.
+
+Skew: a line that is repeated sends its rows about once from each task; a token whose rows exceed MOST is handed on and compared in
+blocks of parts, each in a task of its own.
+
+Defined cases: lines without words, or of fewer than `least_words`, are never removed and take no part; null texts have no
+lines and stay null; rows with null ids stay as they are; rows that share an id are versions of one document, of which lines of one number
+don't remove each other; other columns pass through whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import materialize
+from veldt.llm.blocks import blocks, linked, lowest
+from veldt.llm.common import FILTER_LONGS, bitmap, forget, map_arrow, materialize, may_hold, mix, quoted, unused
 from veldt.llm.graph import components
 
-BUCKETS, MANY, LEAST_WORDS, PERCENT = 1 << 16, 4096, 5, 80
-#: Bits of the filter that keeps lines and documents that no pair names out of a shuffle; as a filter it may be coarse.
-FILTER_LONGS = 1 << 16
-
-
-def _once(value: Column) -> Column:
-    """A generator of the value alone: what is above it can't make the value be worked out more than once."""
-    return F.explode(F.array(value))
-
-
-def _lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, line_no, hashes): the lines of least_words words or more, with distinct sorted token hashes."""
-    d = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # Cheap and necessary: so many words need so many characters. The exact rule follows.
-    d = d.filter(F.length("line") >= 2 * least_words - 1)
-    words = F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " ")
-    hashes = F.array_remove(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 16)), F.shiftrightunsigned(F.xxhash64(F.lit("")), 16))
-    d = d.select("doc_id", "line_no", _once(hashes).alias("hashes")).filter(F.size("hashes") >= least_words)
-    return d.select("doc_id", "line_no", _once(F.sort_array(F.array_distinct("hashes"))).alias("hashes"))
-
-
-def _rarity(docs: DataFrame) -> Column:
-    """A constant array of BUCKETS levels, larger for buckets whose tokens occur more often."""
-    flat = F.translate(F.coalesce("text", F.lit("")), "\n\t\x0b\x0c\r", "     ")
-    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).filter("w != ''")
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 16).bitwiseAND(BUCKETS - 1).cast("int")
-    counted = {r["bucket"]: r["n"] for r in words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS rows
-    # A logarithm keeps the order and fits the 15 bits above a token's 48.
-    levels = (int(math.log2(counted[i]) * 256) if i in counted else 0 for i in range(BUCKETS))
-    return F.split(F.lit(" ".join(map(str, levels))), " ").cast("array<bigint>")
-
-
-def _sketch(hashes: Column) -> Column:
-    """95 parities, a: 64, b: 31. A bit counts, modulo 2, the tokens whose hash falls on it."""
-    at = lambda h: F.shiftrightunsigned(h, 17).cast("int")
-    in_a = lambda h: F.shiftrightunsigned(h, 30).bitwiseAND(255) < 171
-    bit = lambda h, one, kind, mine, n=64: F.when(mine, F.call_function("shiftleft", F.lit(one).cast(kind), F.pmod(at(h), F.lit(n)))).otherwise(F.lit(0).cast(kind))
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("int").alias("b"))
-    return F.aggregate(hashes, start, lambda acc, h: F.struct(acc["a"].bitwiseXOR(bit(h, 1, "long", in_a(h))).alias("a"), acc["b"].bitwiseXOR(bit(h, 1, "int", ~in_a(h), 31)).alias("b")))
-
-
-def _bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """One row: array `bits` of FILTER_LONGS longs with a bit for each key's hash. Its size is fixed."""
-    h = F.xxhash64(key)
-    word = F.pmod(F.shiftrightunsigned(h, 8), F.lit(FILTER_LONGS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    words = keys.groupBy(word.alias("at")).agg(F.bit_or(one).alias("bits"))
-    filled = keys.sparkSession.range(FILTER_LONGS).select(F.col("id").alias("at")).join(words, "at", "left")
-    row = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits"))
-    return materialize(row, "bits")
-
-
-def _may_hold(bitmap: DataFrame, key: Column) -> Column:
-    h = F.xxhash64(key)
-    word = F.get(bitmap.scalar(), F.pmod(F.shiftrightunsigned(h, 8), F.lit(FILTER_LONGS)).cast("int"))
-    return F.call_function("getbit", word, h.bitwiseAND(63).cast("int")) == 1
-
-
-def _sid(hashes: Column) -> Column:
-    return F.xxhash64(F.lit(17), hashes)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, least_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose token sets link. Token sets come from the texts of the classes named only."""
-    pairs = materialize(pairs, "pairs", release=True)
-    named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    lines = _lines(docs, least_words).select(_sid(F.col("hashes")).alias("sid"), "hashes")
-    sets = lines.filter(_may_hold(_bitmap(named, "sid"), F.col("sid"))).groupBy("sid").agg(F.first("hashes").alias("hashes")).join(named, "sid", "left_semi")
-    sets = materialize(sets, "sets", release=True)
-    j = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
-    j = j.withColumn("common", F.size(F.array_intersect("ha", "hb")))
-    return j.filter(F.col("common") * 100 >= percent * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b")
+BUCKETS, LEAST_WORDS, PERCENT = 1 << 20, 1, 80
+#: Tokens from which a line's sketch has 128 bits; rows of one token that a task compares by itself; pairs it looks at in one go.
+LONG, MOST, PAIRS = 48, 20_000, 1 << 20
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Vocabulary(dict):
+    """Words as small numbers, with their 64-bit hashes by number; emptied between batches when full."""
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit, self.hash, self.fresh = limit, np.zeros(0, np.uint64), []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        self.fresh.append(word)
+        return i
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self.fresh:
+            self.hash = np.concatenate([self.hash, np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))])
+            self.fresh = []
+        return out
+
+    def trim(self) -> bool:
+        if len(self) <= self.limit:
+            return False
+        self.clear()
+        self.hash = self.hash[:0]
+        return True
+
+
+class Lines:
+    """The lines of some texts: doc and number of each, and the words of all, one line after the other."""
+
+    def __init__(self, texts: list[str | None], vocabulary: Vocabulary, least_words: int):
+        found, sizes, doc, number = [], [], [], []
+        for d, text in enumerate(texts):
+            for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n") if text else ()):
+                ws = line.split()  # of bytes: at ASCII white space only
+                if len(ws) >= least_words:
+                    found += ws
+                    sizes.append(len(ws))
+                    doc.append(d)
+                    number.append(k)
+        self.doc, self.number, self.sizes = np.array(doc, np.int64), np.array(number, np.int32), np.array(sizes, np.int64)
+        self.words = vocabulary.of(found)
+        self.hash = vocabulary.hash
+
+    def distinct(self, levels: np.ndarray | None = None) -> None:
+        """Sets `token`, word numbers in each line's order without repeats, `n`, `start`, and the lines' hashes `a` and `b`."""
+        met = np.zeros(len(self.hash), bool)
+        met[self.words] = True
+        met = np.nonzero(met)[0]
+        if levels is not None:
+            h = self.hash[met]
+            met = met[np.lexsort((h, levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+        rank = np.zeros(len(self.hash), np.int64)
+        rank[met] = np.arange(len(met))
+        both = np.repeat(np.arange(len(self.sizes)) << 32, self.sizes) | rank[self.words]
+        both.sort()
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        self.line, self.token = both >> 32, met[both & 0xFFFFFFFF]
+        self.n = np.bincount(self.line, minlength=len(self.sizes))
+        self.start = np.cumsum(self.n) - self.n
+        # Sums over the set, whatever its order.
+        h = self.hash[self.token]
+        add = lambda x: np.add.reduceat(x, self.start) if len(x) else x
+        self.a, self.b = add(mix(h ^ _A)), add(mix(h + _B))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list]]:
+    """Ids and texts, some million characters at a time."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            texts, size = [], 0
+            while at + len(texts) < b.num_rows and size < chars:
+                texts.append(b.column(1)[at + len(texts)].as_py())
+                size += len(texts[-1] or "")
+            yield b.column(0).slice(at, len(texts)), texts
+            at += len(texts)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+
+
+def _survey(docs: DataFrame, least_words: int) -> DataFrame:
+    """Written down: (doc_id, id, number, a, b) for each line, and (bucket, n), counts of the words of one task, in rows of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, counts, rows, part = Vocabulary(), np.zeros(BUCKETS, np.int64), 0, TaskContext.get().partitionId() << 40
+        names = ["doc_id", "id", "number", "a", "b", "bucket", "n"]
+        for ids, texts in _texts(batches):
+            x = Lines(texts, vocabulary, least_words)
+            if not len(x.words):
+                continue
+            x.distinct()
+            n = np.bincount(x.words, minlength=len(x.hash))
+            np.add.at(counts, (x.hash & np.uint64(BUCKETS - 1)).astype(np.int64), n)
+            k = len(x.doc)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.doc)), pa.array(part + rows + np.arange(k)), pa.array(x.number), pa.array(x.a.view(np.int64)), pa.array(x.b.view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
+            rows += k
+            vocabulary.trim()
+        at = np.nonzero(counts)[0]
+        for cut in range(0, len(at), 50_000):
+            here = at[cut : cut + 50_000]
+            none = lambda kind: pa.nulls(len(here), kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int64()), pa.array(here, pa.int32()), pa.array(counts[here])], names=names)
+
+    return materialize(map_arrow(docs, run, "doc_id long, id long, number int, a long, b long, bucket int, n long"), "lines")
+
+
+def _levels(survey: DataFrame) -> Broadcast:
+    """A level for each bucket, larger where its tokens occur more often: four to each doubling."""
+    counted = survey.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[np.asarray(counted.column("bucket"))] = np.log2(np.asarray(counted.column("n"))) * 4
+    return survey.sparkSession.sparkContext.broadcast(levels)
+
+
+def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of n tokens, the rarest, a line sends: none where only equal sets link."""
+    return np.where(100 * n < percent * (n + 1), 0, n - -(-n * percent // 100) + 1)
+
+
+def _prefixes(docs: DataFrame, levels: Broadcast, least_words: int, percent: int) -> DataFrame:
+    """(token, id, place, s, t): the prefix rows of the lines. id: the line's `a`; place: n and the token's position; s, t: its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, sent = Vocabulary(), np.zeros(1 << 18, np.uint64)
+        for _, texts in _texts(batches):
+            x = Lines(texts, vocabulary, least_words)
+            if not len(x.words):
+                continue
+            x.distinct(levels.value)
+            # Lines that this task has just sent: a cache that forgets; repeats that slip through are dropped later.
+            _, first = np.unique(x.a, return_index=True)
+            slot = (x.a & np.uint64(len(sent) - 1)).astype(np.int64)
+            fresh = np.zeros(len(x.a), bool)
+            fresh[first] = True
+            fresh &= sent[slot] != x.a
+            sent[slot] = x.a
+            h = x.hash[x.token]
+            bit = np.uint64(1) << (h >> np.uint64(24) & np.uint64(63))
+            high = (h >> np.uint64(30) & np.uint64(1) == 1) & (x.n[x.line] >= LONG)
+            s = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), x.start)
+            t = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), x.start)
+            pos = np.arange(len(x.token)) - x.start[x.line]
+            at = np.nonzero((pos < _prefix(x.n, percent)[x.line]) & fresh[x.line])[0]
+            line = x.line[at]
+            token = (h[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for cut in range(0, len(at), 50_000):
+                c = slice(cut, cut + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token[c]), *(pa.array(v[line[c]].view(np.int64)) for v in (x.a,)), pa.array(x.n[line[c]] << 32 | pos[at[c]]), *(pa.array(v[line[c]].view(np.int64)) for v in (s, t))], names=["token", "id", "place", "s", "t"])
+            vocabulary.trim()
+
+    return map_arrow(docs, run, "token int, id long, place long, s long, t long")
+
+
+_FOUND = "kind int, token int, id long, other long, place long, s long, t long"
+EDGE, GROUP, HANDED_ON = 1, 2, 3
+
+
+def _record(kind: int, token, id_, other=None, place=None, s=None, t=None) -> pa.RecordBatch:
+    long = lambda x: pa.nulls(len(id_), pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(id_), kind, np.int32)), pa.array(token, pa.int32()), pa.array(id_, pa.int64()), long(other), long(place), long(s), long(t)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _candidates(token: np.ndarray, id_: np.ndarray, place: np.ndarray, s: np.ndarray, t: np.ndarray, percent: int, part: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Edges and groups of the rows of some tokens, all rows of each token. part: where given, only rows of different parts are compared."""
+    n = place >> 32
+    order = np.lexsort((id_, n, token))
+    token, id_, place, s, t, n = (x[order] for x in (token, id_, place, s, t, n))
+    if part is not None:
+        part = part[order]
+    repeated = np.zeros(len(token), bool)
+    repeated[1:] = (token[1:] == token[:-1]) & (id_[1:] == id_[:-1]) & (place[1:] == place[:-1]) & (s[1:] == s[:-1]) & (t[1:] == t[:-1])
+    if repeated.any():
+        token, id_, place, s, t, n = (x[~repeated] for x in (token, id_, place, s, t, n))
+        part = None if part is None else part[~repeated]
+    pos = place & 0xFFFFFFFF
+    bucket = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]))
+    # Partners stand after a row: of its token, and not longer than a linked line can be.
+    key = bucket << 32 | n
+    upto = np.searchsorted(key, bucket << 32 | n * 100 // percent, "right")
+    times = upto - np.arange(len(key)) - 1
+    su, tu = s.view(np.uint64), t.view(np.uint64)
+    fold = su ^ tu
+    left, right = [], []
+    cuts = np.searchsorted(np.cumsum(times), np.arange(PAIRS, int(times.sum()) + PAIRS, PAIRS), "left")
+    start = 0
+    for end in [*(cuts + 1), len(key)]:
+        end = min(int(end), len(key))
+        if end <= start:
+            continue
+        k = times[start:end]
+        i = np.repeat(np.arange(start, end), k)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + i + 1
+        start = end
+        ni, nj, pi, pj = n[i], n[j], pos[i], pos[j]
+        least = -(-(ni + nj) * percent // (100 + percent))  # tokens that a linked pair shares
+        may = np.minimum(pi, pj) + np.minimum(ni - pi, nj - pj) >= least
+        spare = ni + nj - 2 * least
+        may &= np.bitwise_count(fold[i] ^ fold[j]) <= spare
+        if part is not None:
+            may &= part[i] != part[j]
+        at = np.nonzero(may)[0]
+        i, j, spare = i[at], j[at], spare[at]
+        both = np.bitwise_count(su[i] ^ su[j]).astype(np.int64) + np.bitwise_count(tu[i] ^ tu[j])
+        at = (n[i] < LONG) | (both <= spare)
+        left.append(i[at])
+        right.append(j[at])
+    i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+    if not len(i):
+        return
+    # For each member the edge to its first partner; the pairs beyond these edges make their group one to look at again.
+    own, first = np.unique(j, return_index=True)
+    order = np.lexsort((i, j))
+    first = i[order[np.searchsorted(j[order], own)]]
+    yield _record(EDGE, token[own], id_[own], id_[first])
+    label = lowest(len(key), i, j)
+    more = np.bincount(label[i], minlength=len(key)) > np.bincount(label[own], minlength=len(key))
+    nodes = np.unique(np.concatenate([i, j]))
+    nodes = nodes[more[label[nodes]]]
+    if len(nodes):
+        group = mix(token[label[nodes]].astype(np.int64).view(np.uint64) ^ mix(id_[label[nodes]].view(np.uint64) + _A)).view(np.int64)
+        yield _record(GROUP, token[nodes], id_[nodes], group)
+
+
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """The candidates of prefix rows that are dealt and sorted by token; rows of a token that has more than MOST are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, over = [], 0, None  # over: the token whose rows are handed on
+        for b in batches:
+            x = [np.asarray(b.column(k)) for k in range(5)]
+            if over is not None:
+                upto = int(np.searchsorted(x[0] != over, True))
+                if upto:
+                    yield _record(HANDED_ON, x[0][:upto], x[1][:upto], None, *(v[:upto] for v in x[2:]))
+                if upto == len(x[0]):
+                    continue
+                over, x = None, [v[upto:] for v in x]
+            held.append(x)
+            size += len(x[0])
+            if size < 100_000:
+                continue
+            x = [np.concatenate(v) for v in zip(*held, strict=True)]
+            last = int(np.searchsorted(x[0] != x[0][-1], False)) if x[0][0] == x[0][-1] else len(x[0]) - int(np.argmax(x[0][::-1] != x[0][-1]))
+            yield from whole([v[:last] for v in x])
+            x = [v[last:] for v in x]
+            if len(x[0]) > MOST:
+                over = x[0][0]
+                yield _record(HANDED_ON, x[0], x[1], None, *x[2:])
+                x = [v[:0] for v in x]
+            held, size = [x], len(x[0])
+        if size:
+            yield from whole([np.concatenate(v) for v in zip(*held, strict=True)])
+
+    def whole(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """All rows of some tokens."""
+        if not len(x[0]):
+            return
+        cuts = np.concatenate([[0], np.nonzero(x[0][1:] != x[0][:-1])[0] + 1, [len(x[0])]])
+        many = np.repeat(np.diff(cuts) > MOST, np.diff(cuts))
+        if many.any():
+            yield _record(HANDED_ON, x[0][many], x[1][many], None, *(v[many] for v in x[2:]))
+            x = [v[~many] for v in x]
+        if len(x[0]):
+            yield from _candidates(*x, percent)
+
+    return map_arrow(rows, run, _FOUND)
+
+
+def _compare_parts(handed_on: DataFrame, percent: int) -> DataFrame:
+    """The candidates of tokens with many rows: these are cut into parts, and each part and each two parts make a block."""
+    many = handed_on.groupBy("token").agg(F.ceil(F.count(F.lit(1)) * 2 / MOST).cast("int").alias("parts"))
+    m = handed_on.join(many, "token").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    m = m.select("token", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "id", "place", "s", "t", "part")
+    m = m.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def block(x: pa.Table) -> pa.RecordBatch:
+        token, i, j, *rest = (np.asarray(x.column(k)) for k in range(x.num_columns))
+        found = list(_candidates(token, *rest[:4], percent, None if i[0] == j[0] else rest[4]))
+        return pa.Table.from_batches(found or [_record(EDGE, token[:0], token[:0])]).combine_chunks().to_batches()[0] if found else _record(EDGE, token[:0], token[:0])
+
+    return map_arrow(m, blocks(3, block), _FOUND)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, named: DataFrame, least_words: int) -> DataFrame:
+    """Written down: (doc_id, a, shingles) of the classes whose `a` is named: their smallest id and their tokens, anew from the texts."""
+    wanted = materialize(classes.join(named, "a", "left_semi").select("a", "b", "id", F.col("first.doc_id").alias("doc_id")), "wanted")
+    bits = bitmap(wanted, "doc_id")
+    of_a = wanted.groupBy(F.shiftrightunsigned("a", 8).bitwiseAND(FILTER_LONGS - 1).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("a").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()  # FILTER_LONGS rows at most
+    lines = np.zeros(FILTER_LONGS, np.uint64)
+    lines[np.asarray(of_a.column("at"))] = np.asarray(of_a.column("bits")).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
+        for _, texts in _texts(batches):
+            x = Lines(texts, vocabulary, least_words)
+            if not len(x.words):
+                continue
+            x.distinct()
+            may = shared.value[(x.a >> np.uint64(8) & np.uint64(FILTER_LONGS - 1)).astype(np.int64)] >> (x.a & np.uint64(63)) & np.uint64(1) == 1
+            k = np.nonzero(may)[0]
+            tokens = x.hash[x.token[may[x.line]]].view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(x.n[k])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x.a[k].view(np.int64)), pa.array(x.b[k].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names=["a", "b", "shingles"])
+            vocabulary.trim()
+
+    made = map_arrow(docs.filter(may_hold(bits, F.col("doc_id"))), run, "a long, b long, shingles array<long>")
+    sets = made.join(wanted.select("a", "b", F.col("id").alias("doc_id")), ["a", "b"]).groupBy("doc_id").agg(F.first("a").alias("a"), F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "sets")
+    forget(wanted, bits)
+    return sets
+
+
+def _links(docs: DataFrame, classes: DataFrame, levels: Broadcast, percent: int, least_words: int) -> DataFrame:
+    """(id, component): the classes, by their smallest lines' ids, that link, directly or not, to one with a smaller id."""
+    rows = _prefixes(docs, levels, least_words, percent)
+    found = materialize(_compare(rows.repartition("token").sortWithinPartitions("token"), percent), "found")
+    parts = materialize(_compare_parts(found.filter(F.col("kind") == HANDED_ON), percent), "parts")
+    found_all = found.filter(F.col("kind") != HANDED_ON).unionByName(parts)
+    edges = materialize(found_all.filter(F.col("kind") == EDGE).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).filter("a != b").distinct(), "edges")
+    groups = materialize(found_all.filter(F.col("kind") == GROUP).select(F.col("other").alias("group"), F.col("id").alias("a")).distinct(), "groups")
+    forget(found, parts)
+    named = edges.select("a").union(edges.select("b")).union(groups.select("a")).distinct()
+    sets = _sets(docs, classes, named, least_words)
+    of = lambda x: sets.select(F.col("a").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("shingles").alias(f"set_{x}"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    both = edges.join(of("a"), "a").join(of("b"), "b").select("id_a", "id_b", (F.size("set_a") + F.size("set_b")).alias("n"), common.alias("common"))
+    reached = components(both.filter(F.col("common") * 100 >= percent * (F.col("n") - F.col("common"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+    # Groups that the verified edges have not joined to one component yet.
+    of_group = groups.join(sets.select("a", F.col("doc_id").alias("id")), "a").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_groups = of_group.groupBy("group").agg(F.min("id").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("group", "least")
+    families = materialize(of_group.join(open_groups, "group").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "families")
+    if not families.isEmpty():
+        more = linked(components(families), reached, sets, percent)
+        reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    forget(edges, groups, sets, families)
+    return reached
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, gone): for each document that loses lines their numbers, from 0."""
-    slim = materialize(_lines(docs, least_words).select("doc_id", "line_no", _sid(F.col("hashes")).alias("sid")), "lines")
-    classes = slim.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes", release=True)
-    total = slim.count()
-    many = classes.filter(F.col("n") >= max(2, -(-total // MANY))).select("sid", "first")  # at most MANY rows
-
-    lines = _lines(docs, least_words).withColumn("sid", _sid(F.col("hashes"))).join(F.broadcast(many), "sid", "left")
-    lines = lines.filter(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no")))
-    level = _rarity(docs)
-    ordered = F.sort_array(F.transform("hashes", lambda h: F.call_function("shiftleft", F.get(level, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(48)).bitwiseOR(h)))
-    n = F.size("hashes")
-    prefix = n - F.ceil(n * percent / 100).cast("int") + 1
-    lines = lines.select("sid", n.alias("n"), _once(F.struct(_sketch(F.col("hashes")).alias("sketch"), F.slice(ordered, F.lit(1), prefix).alias("prefix"))).alias("x"))
-    rows = lines.select("sid", "x.sketch.a", "x.sketch.b", "n", F.posexplode("x.prefix").alias("pos", "token"))
-    # One exchange by token serves the leads and the join. All columns are looked at, so that all sides ask for the same.
-    rows = rows.select((F.col("token") % 2147483647).cast("int").alias("token"), "sid", "a", "b", "n", "pos").repartition("token")
-    leads = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b"), F.max("n").alias("n"), F.max("pos").alias("pos"))
-    leads = leads.filter("lead != last and a is not null and b is not null and n > 0 and pos >= 0").select("token", "lead")
-    members = materialize(rows.join(leads, "token"), "members", release=True)
-
-    def may(x: str, y: str) -> Column:
-        nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-        least = F.ceil((nx + ny) * percent / (100.0 + percent))  # tokens that a linked pair shares
-        near = F.bit_count(F.col(f"{x}.a").bitwiseXOR(F.col(f"{y}.a"))) + F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))) <= nx + ny - 2 * least
-        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(px, py) + F.least(nx - px, ny - py) >= least) & near
-
-    x, y = members.filter("sid = lead").drop("lead").dropDuplicates(["token"]).alias("x"), members.filter("sid != lead").drop("lead").alias("y")
-    starred = x.join(y, (F.col("x.token") == F.col("y.token")) & may("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    reached = components(_verified(starred, docs, least_words, percent))
-
-    # Few classes are in a component yet; the others need no join to learn that they are their own.
-    others = members.filter("sid != lead").drop("lead")
-    joined = _may_hold(_bitmap(reached, "id"), F.col("sid"))
-    inside = others.filter(joined).join(reached.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    of = others.filter(~joined).withColumn("component", F.col("sid")).unionByName(inside)
-    x, y = of.alias("x"), of.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & may("x", "y"))
-    rest = rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    more = _verified(rest, docs, least_words, percent)
-    reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-
-    grouped = classes.join(reached.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    first = grouped.groupBy("component").agg(F.min("first").alias("first"))
+    docs = _named(docs)
+    least_words = max(1, least_words)
+    survey = _survey(docs, least_words)
+    slim = survey.filter("id is not null").select("doc_id", "id", F.col("number").alias("line_no"), "a", "b")
+    levels = _levels(survey)
+    classes = slim.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes, "classes")
+    reached = _links(docs, classes, levels, percent, least_words)
+
+    grouped = classes.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = grouped.groupBy("component").agg(F.min("first").alias("stays"))
     # Classes of one line that nothing links to lose no line and need no look at their lines.
-    loses = grouped.join(first.withColumnRenamed("first", "stays"), "component").filter((F.col("n") > 1) | (F.col("first") != F.col("stays"))).select("sid", "stays")
-    gone = slim.join(loses, "sid").filter(F.col("stays") != F.struct("doc_id", "line_no"))
-    same = (F.col("stays.doc_id") == F.col("doc_id")) & (F.col("stays.line_no") == F.col("line_no"))
-    return gone.filter(~same).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with later matches of lines removed from `text`, and `__gone`, the number of lines removed."""
-    gone = materialize(removed_lines(docs.select("doc_id", "text"), percent, least_words).withColumnRenamed("gone", "__lines"), "gone", release=True)
-    hit = F.coalesce(_may_hold(_bitmap(gone.select("doc_id"), "doc_id"), F.col("doc_id")), F.lit(False))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__lines", i)), "\n")
-    changed = docs.filter(hit).join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept))
-    changed = changed.select(*docs.columns, F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__gone"))
-    return docs.filter(~hit).select(*docs.columns, F.lit(0).cast("long").alias("__gone")).unionByName(changed)
+    loses = grouped.join(first, "component").filter((F.col("n") > 1) | (F.col("first") != F.col("stays"))).select("a", "b", "stays")
+    gone = slim.join(loses, ["a", "b"]).filter((F.col("stays.doc_id") != F.col("doc_id")) | (F.col("stays.line_no") != F.col("line_no")))
+    gone = materialize(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
+    forget(survey, classes, reached)
+    return gone
+
+
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, count: str = "__gone") -> DataFrame:
+    """docs with later matches of lines removed from `text`, and a column `count` (a name that docs lacks), the number of lines removed."""
+    gone = removed_lines(docs.select("doc_id", "text"), percent, least_words)
+    numbers, id_ = unused("__lines", docs.columns), unused("__id", docs.columns)
+    hit = F.coalesce(may_hold(bitmap(gone, "doc_id"), F.col("doc_id")), F.lit(False))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(numbers, i)), "\n")
+    changed = docs.filter(hit).join(gone.select(F.col("doc_id").alias(id_), F.col("gone").alias(numbers)), F.col("doc_id") == F.col(id_), "left")
+    text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept)
+    columns = [text.alias(c) if c == "text" else q for c, q in zip(docs.columns, quoted(docs.columns), strict=True)]
+    changed = changed.select(*columns, F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias(count))
+    return docs.filter(~hit).select(*quoted(docs.columns), F.lit(0).cast("long").alias(count)).unionByName(changed)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -173,7 +431,7 @@ def query(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
 t AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no, list_distinct(w) AS w
-      FROM (SELECT *, regexp_extract_all(line, '[^ \t\x0B\x0C\r]+') AS w FROM d) WHERE len(w) >= 5),
+      FROM (SELECT *, regexp_extract_all(line, '[^ \t\x0B\x0C\r]+') AS w FROM d) WHERE len(w) >= 1),
 x AS (SELECT id, len(w) AS n, unnest(w) AS token FROM t),
 f AS (SELECT token, count(*) AS df FROM x GROUP BY token),
 p AS (SELECT id, n, token FROM (SELECT id, n, token, row_number() OVER (PARTITION BY id ORDER BY df, token) AS place FROM x JOIN f USING (token)) WHERE place <= n - ceil(n * 0.8 - 1e-9) + 1),

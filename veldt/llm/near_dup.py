@@ -10,10 +10,10 @@ Links: in each bucket all members are compared with its smallest id first (pairs
 are joined to components. In buckets that still hold several components, each member is compared with its neighbours in
 a shuffled order, as long as that joins more. What is then left is compared in full, but in blocks inside a task: members
 of different components whose sizes allow a link, whose distances to the bucket's first member differ by at most the
-linking distance (Jaccard distance is a metric, so other pairs cannot link), and whose longer signatures don't rule a link
-out (which befalls a linked pair with a probability of about 1e-7) are joined to families; a family's members are compared
-on their full sets by products of incidence matrices, but for blocks that one component fills. Blocks return spanning
-forests, so a group of near copies costs rows for its members, not for its pairs.
+linking distance (Jaccard distance is a metric, so other pairs cannot link), and whose parity sketches differ in no more bits
+than linked sets can in members, are joined to families; a family's members are compared on their full sets by products of
+incidence matrices, but for blocks that one component fills (`blocks.linked`). These filters rule out no linked pair. Blocks
+return spanning forests, so a group of near copies costs rows for its members, not for its pairs.
 
 Defined cases: null and empty texts have the empty set (n_shingles 0), link with nothing and are kept; fewer words than
 `width` make one shingle of the whole sequence; rows with null ids are left out, as they cannot be named; a repeated id is
@@ -22,7 +22,7 @@ judged row by row; other columns are ignored whatever their names; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import Hashes, map_arrow, materialize, mix, words
+from veldt.llm.blocks import blocks, linked, spanning
+from veldt.llm.common import Hashes, bitmap, forget, map_arrow, materialize, may_hold, mix, words
 from veldt.llm.graph import components
 
 CHUNK, CHUNKS, BITS = 6, 11, 16
@@ -41,11 +42,8 @@ _ODD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uin
 _FLIP = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 _KEY = _rng.integers(0, 2**63, (CHUNKS, CHUNK), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LEFT_OUT = _rng.integers(0, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
-#: A second, longer signature of two-bit symbols, for pairs that are left after all else: at a similarity of 0.8 a pair
-#: differs in 154 of 1024 symbols with a standard deviation of 11.4; pairs that differ in more than FAR aren't checked further.
-LINE, FAR = 1024, 213
-_LINE_ODD = _rng.integers(0, 2**63, LINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LINE_FLIP = _rng.integers(0, 2**63, LINE, dtype=np.uint64)
+#: Bits of the parity sketch of a set. Two sets' sketches differ in no more bits than the sets differ in members.
+SKETCH = 4096
 _PLACE = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -120,21 +118,26 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return map_arrow(classes.select("id", "n", "signature"), run, "id long, n long, keys array<long>").select(F.explode("keys").alias("key"), "id", "n")
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(number of sets, SKETCH / 8) bytes: for each bit the parity of the number of members that fall on it."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(40) & np.uint64(SKETCH - 1)
+    odd = np.bincount(row * SKETCH + at.astype(np.int64), minlength=len(sets) * SKETCH) & 1
+    return np.packbits(odd.reshape(len(sets), SKETCH).astype(np.uint8), axis=1)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles, bits) of the documents named: their sets anew from their texts, and the longer signature."""
+    """(doc_id, shingles, bits) of the documents named: their sets anew from their texts, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
                 sets = [shingles(hashes.of(words(t.as_py())), width) for t in b.column(1)]
-                full = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
-                symbols = signatures(full, _LINE_ODD, _LINE_FLIP)
-                bits = np.packbits(np.stack([symbols & 1, symbols >> 1 & 1], 2).reshape(len(sets), -1).astype(np.uint8), axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketches(sets)], pa.binary())], names=["doc_id", "shingles", "bits"])
 
-    wanted = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    wanted = docs.filter(may_hold(bitmap(ids, "doc_id"), F.col("doc_id"))).join(ids, "doc_id", "left_semi")
     return map_arrow(wanted, run, "doc_id long, shingles array<long>, bits binary")
 
 
@@ -153,61 +156,26 @@ def _apart(members: DataFrame, reached: DataFrame) -> DataFrame:
     return m.join(several.filter("low != high").select("key", "in_key"), "key")
 
 
-def _blocks(place: int, kernel: Callable[[pa.Table], pa.RecordBatch]):
-    """For mapInArrow over partitions sorted by their first `place` columns: kernel of each block's table, one at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for whole in batches:
-            if not whole.num_rows:
-                continue
-            at = np.stack([np.asarray(whole.column(k)) for k in range(place)])
-            cuts = [0, *(np.nonzero((at[:, 1:] != at[:, :-1]).any(0))[0] + 1), whole.num_rows]
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if held and tuple(at[:, start]) != key:
-                    yield kernel(pa.Table.from_batches(held))
-                    held = []
-                key = tuple(at[:, start])
-                held.append(whole.slice(start, end - start))
-        if held:
-            yield kernel(pa.Table.from_batches(held))
-
-    return run
-
-
-def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Rows (a, b) that link every id to the smallest id that it reaches over the pairs of positions (a, b)."""
-    label = ids.copy()
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        if (label == before).all():
-            break
-    at = np.nonzero(label != ids)[0]
-    return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(label[at], pa.int64())], names=["a", "b"])
-
-
 def _near(rows: pa.Table, percent: int) -> pa.RecordBatch:
     """A spanning forest of the pairs of a bucket's block, in different components, that may link."""
     column = lambda name: np.asarray(rows.column(name))
     ids, n, away, component = (column(x) for x in ("id", "n", "away", "component"))
     bits = np.frombuffer(b"".join(x.as_py() for x in rows.column("bits")), np.uint64).reshape(len(ids), -1)
-    odd, left, right = np.uint64(0x5555555555555555), [], []
+    left, right = [], []
     for r in range(len(ids) - 1):
         rest = slice(r + 1, None)
         may = (component[rest] != component[r]) & (100 * np.minimum(n[rest], n[r]) >= percent * np.maximum(n[rest], n[r])) & (np.abs(away[rest] - away[r]) * 100 <= 100 - percent + 1e-6)
         at = np.nonzero(may)[0] + r + 1
         if len(at):
-            x = bits[at] ^ bits[r]
-            at = at[np.bitwise_count((x | x >> np.uint64(1)) & odd).sum(1) <= FAR]
+            both = n[at] + n[r]
+            spare = both - 2 * -(-both * percent // (100 + percent))  # members that linked sets may differ in
+            at = at[np.bitwise_count(bits[at] ^ bits[r]).sum(1) <= spare]
             left.append(np.full(len(at), r))
             right.append(at)
-    return _spanning(ids, np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64))
+    return spanning(ids, np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64))
 
 
-def _families(m: DataFrame, sets: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+def _families(m: DataFrame, sets: DataFrame, percent: int, block: int = 4000) -> DataFrame:
     """(a, b): edges that join the members of buckets, in different components, which by their signatures may link.
 
     A bucket of more than 2 * block members is cut into parts, and each two parts make a block.
@@ -217,50 +185,7 @@ def _families(m: DataFrame, sets: DataFrame, percent: int, block: int = 1000) ->
     m = m.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     m = m.select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "id", "n", "away", "component", "bits")
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_arrow(m, _blocks(3, lambda t: _near(t, percent)), "a long, b long")
-
-
-def _linked_within(rows: pa.Table, percent: int, columns: int = 20_000) -> pa.RecordBatch:
-    """A spanning forest of a block's links, by products of its incidence matrix, some columns at a time."""
-    ids = np.asarray(rows.column("id"))
-    lists = rows.column("shingles").combine_chunks()
-    sizes = np.diff(np.asarray(lists.offsets))
-    row = np.repeat(np.arange(len(ids)), sizes)
-    _, column, times = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    row, column = row[shared], np.cumsum(times > 1)[column[shared]] - 1
-    common = np.zeros((len(ids), len(ids)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for start in range(0, int((times > 1).sum()), columns):
-        at = slice(*np.searchsorted(column, [start, start + columns]))
-        x = np.zeros((len(ids), columns), np.float32)
-        x[row[at], column[at] - start] = 1
-        common += x @ x.T
-    links = common * 100 >= percent * (sizes[:, None] + sizes[None, :] - common)
-    a, b = np.nonzero(np.triu(links, 1))
-    return _spanning(ids, a, b)
-
-
-def _linked(families: DataFrame, reached: DataFrame, sets: DataFrame, percent: int, block: int = 150_000) -> DataFrame:
-    """(a, b): edges that join all members of a family (id, component: the family) that link on their full sets.
-
-    Members stand by component, in parts of about `block` shingles; two parts make a block unless both hold one and the
-    same component, so what is joined already isn't compared again.
-    """
-    f = families.select("id", F.col("component").alias("family")).union(families.select("component", "component")).distinct()
-    f = f.join(reached, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
-    f = f.join(sets.select(F.col("doc_id").alias("id"), F.size("shingles").cast("long").alias("n")), "id")
-    before = Window.partitionBy("family").orderBy("component", "id").rowsBetween(Window.unboundedPreceding, -1)
-    f = materialize(f.withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block)), "families")
-    parts = f.groupBy("family", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    x, y = parts.alias("x"), parts.alias("y")
-    apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
-    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.part") <= F.col("y.part")) & apart).select(F.col("x.family").alias("family"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
-    pairs = pairs.withColumn("part", F.explode(F.array_distinct(F.array("i", "j"))))
-    rows = f.join(pairs, ["family", "part"]).join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
-    rows = rows.select("family", "i", "j", "id", "shingles").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return map_arrow(rows, _blocks(3, lambda t: _linked_within(t, percent)), "a long, b long")
+    return map_arrow(m, blocks(3, lambda t: _near(t, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most_turns: int = 6) -> DataFrame:
@@ -282,14 +207,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most_tur
     starred = members.filter("first != id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     ids = starred.select(F.col("a").alias("doc_id")).union(starred.select(F.col("b").alias("doc_id"))).distinct()
     sets = materialize(_sets(docs, ids, width), "sets")
-    linked = F.col("common") * 100 >= F.col("together") * percent
+    links = F.col("common") * 100 >= F.col("together") * percent
     checked = materialize(_common(starred, sets), "checked")
-    reached = components(checked.filter(linked).select("a", "b"))
+    reached = components(checked.filter(links).select("a", "b"))
 
     # Members of a bucket that are still in different components: first against a few others in a shuffled order, for as
     # long as that joins more and many pairs are left, then all that are left.
     away = checked.select(F.col("a").alias("first"), F.col("b").alias("id"), (1 - F.col("common") / F.col("together")).alias("away"))
+    told = members
     members = materialize(members.join(away, ["first", "id"], "left").withColumn("away", F.coalesce("away", F.lit(0.0))), "away")
+    forget(told, checked)
     size, before = members.count(), None
     for turn in range(most_turns):
         m = _apart(members, reached)
@@ -302,16 +229,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most_tur
         beside = [F.struct(F.lag("id", k).over(order).alias("id"), F.lag("n", k).over(order).alias("n"), F.lag("component", k).over(order).alias("component")) for k in (1, 2, 3)]
         tried = m.withColumn("beside", F.array(*beside)).withColumn("other", F.explode("beside")).filter((F.col("component") != F.col("other.component")) & fits(F.col("n"), F.col("other.n")))
         tried = tried.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
-        more = materialize(_common(tried, sets).filter(linked).select("a", "b"), "more")
+        more = materialize(_common(tried, sets).filter(links).select("a", "b"), "more")
         if more.isEmpty():
             break
         reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     families = components(_families(_apart(members, reached).filter("first != id"), sets, percent))
-    last = _linked(families, reached, sets, percent)
+    last = linked(families, reached, sets, percent)
     last_round = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
 
-    whole = classes.join(last_round, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
+    whole = materialize(classes.join(last_round, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id")), "whole")
+    forget(members, sets)
     out = features.drop("signature").join(whole, ["set_a", "set_b"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
