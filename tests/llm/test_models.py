@@ -5,7 +5,7 @@ import math
 import os
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -90,16 +90,94 @@ def test_quality_without_labels_or_documents(spark, docs_of):
     assert quality.query(docs_of(corpus(12)), odd).count() == 12 and quality.query(docs_of([]), odd).count() == 0
 
 
-def test_trigram_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    words = rng.integers(1, 40, 4000).astype(np.uint64)
-    grams, counts = np.unique(np.stack([words[:-2], words[1:-1], words[2:]], 1), axis=0, return_counts=True)
-    known = np.unique(np.append(grams.ravel(), np.uint64(0)))
-    m = quality.Trigrams(known, *np.searchsorted(known, grams.T), counts)
-    vocabulary = np.append(m.vocabulary, np.uint64(999))  # and one word that it never met
-    for u, v in ((3, 4), (5, 777), (777, 5), (777, 778)):
-        p = sum(10 ** (m.score([np.array([u, v, w], np.uint64)])[0] - m.score([np.array([u, v], np.uint64)])[0]) for w in vocabulary)
-        assert p == pytest.approx(1, abs=1e-3)
+def kneser_ney(texts):
+    """log10 p(w | u, v) of an interpolated modified Kneser-Ney trigram model, from its definition, with dictionaries."""
+    three = Counter(t for ws in texts for t in zip(["", "", *ws], ["", *ws], ws))
+    two, one = Counter(), Counter()
+    for u, v, w in three:
+        two[v, w] += three[u, v, w] if v == "" else 1
+    for _, w in two:
+        one[w] += 1
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        usual = {1: 0.5, 2: 0.75, 3: 0.9}
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            usual = {k: min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) if n[k - 1] and n[k] else usual[k] for k in usual}
+        return {g: usual[min(c, 3)] for g, c in counts.items()}
+
+    d1, d2, d3 = map(discounts, (one, two, three))
+    floor = sum(d1.values()) / sum(one.values()) / (len(one) + 2)
+    s2, h2, s3, h3 = Counter(), Counter(), Counter(), Counter()
+    for g, c in two.items():
+        s2[g[0]] += c
+        h2[g[0]] += d2[g]
+    for g, c in three.items():
+        s3[g[:2]] += c
+        h3[g[:2]] += d3[g]
+
+    def p(u, v, w):
+        low = (one[w] - d1[w]) / sum(one.values()) + floor if w in one else floor
+        if s2[v]:
+            low = (two[v, w] - d2.get((v, w), 0)) / s2[v] + h2[v] / s2[v] * low
+        return (three[u, v, w] - d3.get((u, v, w), 0)) / s3[u, v] + h3[u, v] / s3[u, v] * low if s3[u, v] else low
+
+    return lambda ws: sum(math.log10(p(u, v, w)) for u, v, w in zip(["", "", *ws], ["", *ws], ws))
+
+
+def small_corpus():
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{min(int(rng.expovariate(0.15)), 60)}" for _ in range(rng.choice((0, 1, 2, 9, 30, 2500 if rng.random() < 0.03 else 12))))
+    return [(i, text(), ("en", "fr", None, "rare")[i % 4 if i % 40 == 3 else i % 3]) for i in range(400)] + [(400, "w1 W2 unheard of w1", "en"), (401, "unheard", "xx"), (None, "w1 w2 w3", "en")]
+
+
+@pytest.mark.parametrize("hot", [1 << 19, 50])
+def test_quality_equals_brute_force(spark, docs_of, monkeypatch, hot):
+    """Scores, thresholds and verdicts by definition: all orders, texts of any length, whatever is looked up in place or joined."""
+    monkeypatch.setattr(quality, "HOT", hot)
+    rows = small_corpus()
+    labels = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    half = {r.doc_id: r.trains for r in quality._trusted(labels).collect()}
+    assert set(half) == {i for i in range(400) if i % 8} and 100 < sum(half.values()) < 250
+    split = lambda t: t.lower().split()
+    log10p = kneser_ney([split(t) for i, t, _ in rows if half.get(i)])
+    got = quality.query(docs_of([*rows, rows[5]]), labels).collect()
+    assert len(got) == len(rows) + 1
+    held = defaultdict(list)
+    for i, t, lang in rows + [rows[5]]:
+        if half.get(i) is False and split(t):
+            held[lang].append((log10p(split(t)), len(split(t))))
+    every = [x for xs in held.values() for x in xs]
+    mean = lambda xs: -sum(x for x, _ in xs) / sum(n for _, n in xs)
+    means = {lang: mean(held[lang] if len(held[lang]) >= 30 else every) for lang in {r[2] for r in rows}}
+    drawn = lambda x, n, lang: (-x + 20 * means[lang]) / (n + 20)
+    most = lambda xs: sorted(xs)[math.ceil(0.995 * len(xs)) - 1]
+    all_most = most([drawn(*x, lang) for lang, xs in held.items() for x in xs])
+    texts = {(i, lang): t for i, t, lang in rows}
+    for r in got:
+        ws = split(texts[r.doc_id, r.lang])
+        limit = most([drawn(*x, r.lang) for x in held[r.lang]]) if len(held[r.lang]) >= 30 else all_most
+        assert r.n_words == len(ws) and r.threshold == pytest.approx(limit, abs=1e-9)
+        assert r.score == pytest.approx(drawn(log10p(ws), len(ws), r.lang), abs=1e-9)
+        assert r.log10_perplexity == (pytest.approx(-log10p(ws) / len(ws), abs=1e-9) if ws else None)
+        assert r.kept == (not ws or r.score <= r.threshold)
+
+
+def test_trigram_probabilities_sum_to_one(spark, docs_of):
+    rows = [(i, " ".join(f"w{(i * k * k) % 37}" for k in range(60))) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs_of(rows), labels)
+    contexts = ["w3 w4", "w5 unheard", "unheard w5", "unheard of"]
+    met = {w for i, t in rows for w in t.split()}
+    known = {r.w for r in quality._trigrams(docs_of(rows), labels, 100).select("w").distinct().collect()}
+    asked = [(k * 1000 + j, f"{c} {w}") for k, c in enumerate(contexts) for j, w in enumerate([*sorted(met), "new"])] + [(9000 + k, c) for k, c in enumerate(contexts)]
+    got = {r.doc_id: r["__log10p"] for r in quality.score(docs_of(asked), model).collect()}
+    assert len(known) == len(met)
+    for k in range(len(contexts)):
+        # The model keeps one more share of the unknown: for the start, which no text holds.
+        p = [10 ** (got[k * 1000 + j] - got[9000 + k]) for j in range(len(met) + 1)]
+        assert sum(p) + p[-1] == pytest.approx(1, abs=1e-6)
 
 
 def test_lm_counts_and_gains(docs_of):
