@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import n_words
+from veldt.llm.common import n_words, quoted
 
 WEIGHTS = (5, 2, 1)
 SALTS = 256
@@ -74,8 +74,12 @@ def mix_sources(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", budget:
 
 def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs, each document as often as it is taken."""
-    m = mix_sources(docs, **options).filter(F.col("__copies") > 0)
-    return m.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    id_col = options.get("id_col", "doc_id")
+    # Whole rows travel as one column, so no name of theirs meets those that are added.
+    packed = docs.select(F.struct(*quoted(docs.columns)).alias("__doc"), id_col, "text", "source")
+    m = mix_sources(packed, **options).filter(F.col("__copies") > 0)
+    m = m.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return m.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
