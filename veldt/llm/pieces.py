@@ -81,6 +81,8 @@ class Codec:
         self.stable = Cache(self._stable, cached_pairs)
         self.alone = Cache(lambda p: self._merge(p) == [p], cached_pairs)
         self.chunks = Cache(self._chunk, cached_chunks, longest_cached)
+        #: Chunks that decode to something else; of valid text there are none.
+        self.odd: dict[str, str] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging: the best-ranked neighbouring pair first, the leftmost of equals."""
@@ -151,19 +153,29 @@ class Codec:
         raw = b"".join(self.bytes_[i] if i in self.bytes_ else b"" if i in self.silent else self.names[i].replace(SPACE, " ").encode() for i in ids)
         return raw.decode("utf-8", "replace")
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+    def _chunk(self, chunk: str) -> str:
         ids = self._ids(chunk.replace(" ", SPACE))
         surface = self._surface(ids)
-        return len(ids), " ".join(map(str, ids)), chunk if surface == chunk else surface  # one string in memory for both
+        if surface != chunk:
+            self.odd[chunk] = surface
+        return " ".join(map(str, ids))
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
-        """For each chunk: its number of ids, the ids in decimal, what they decode to."""
+    def written(self, text: str | None) -> tuple[int, str, str]:
+        """The number of ids without the end, the ids in decimal, joined by one space, and what they decode to."""
         if not text:
-            return []
-        return list(map(self.chunks.__getitem__, self.cut(" " + text.replace(SPACE, " "))))
+            return 0, "", ""
+        if len(self.odd) > 10_000:
+            self.odd.clear()
+            self.chunks.clear()
+        text = text.replace(SPACE, " ")
+        chunks = self.cut(" " + text)
+        ids = " ".join(map(self.chunks.__getitem__, chunks))
+        if self.odd and not self.odd.keys().isdisjoint(chunks):
+            text = "".join(self.odd.get(c, c) for c in chunks)[1:]  # every text that is not empty begins with the dummy prefix
+        return ids.count(" ") + 1, ids, text
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[1].split(" ")] + [self.end]
+        return [*map(int, self.written(text)[1].split()), self.end]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are silent, the space of the dummy prefix goes."""
@@ -204,10 +216,10 @@ def encode_table(docs: DataFrame, model: str | None = None, text_col: str = "tex
                 b = whole.slice(at, rows)
                 n, ids, decoded = [], [], []
                 for text in b.column(text_col):
-                    counts, written, surfaces = zip(*c.parts(text.as_py()), (1, end, ""), strict=True)
-                    n.append(sum(counts))
-                    ids.append(" ".join(written))
-                    decoded.append("".join(surfaces)[1:])  # every text that is not empty begins with the dummy prefix
+                    count, written, surface = c.written(text.as_py())
+                    n.append(count + 1)
+                    ids.append(f"{written} {end}" if written else end)
+                    decoded.append(surface)
                 yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[*names, *made])
 
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in made.items())])
