@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,13 +132,37 @@ def _alone(owner: str) -> None:
         held.pop(name)()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on, and the next operator's task may run in this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def one_blas_thread() -> None:
+    """In a Python worker: matrix products by the calling thread alone. Executors run as many tasks as they have cores, and threads that wait spin."""
+    for library in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        loaded = ctypes.CDLL(str(library))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(loaded, name):
+                getattr(loaded, name)(1)
+                break
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this package shipped to the executors, which need not have it installed."""
     owner = run.__module__
 
     def alone(batches):
         _alone(owner)
-        return run(batches)
+        one_blas_thread()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
 
     sc = df.sparkSession.sparkContext
     if _shipped.get("context") != sc.applicationId:
