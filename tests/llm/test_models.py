@@ -220,6 +220,38 @@ def test_lm_trains_on_every_position(docs_of):
     assert sum((Counter(zip(*lm._contexts(w).tolist())) for w in written), Counter()) == want
 
 
+def test_lm_score_equals_brute_force(docs_of):
+    """The sum over a text's tokens of log10 p(class | the two classes before) and of the token's share of its class, by definition."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"{rng.choice('abcd')}{min(int(rng.expovariate(0.004)), 2500)}" for _ in range(rng.choice((0, 1, 2, 30, 200))))
+    rows = [(i, text()) for i in range(250)] + [(250, "A1 never met b2 b2"), (251, None), (252, " \n ")]
+    fitted = lm.fit(docs_of(rows))
+    got = {r.doc_id: r for r in lm.score(docs_of(rows), fitted).collect()}
+    m = fitted.model
+    tokens = lambda t: (t or "").encode().lower().split() + [b"\n<end>"]
+    counts = Counter(w for i, t in rows if lm.trains(i) for w in tokens(t))
+    # The head is chosen among equals by hash: what stands in it is asked of the operator, how often it occurs is not.
+    number = lambda w: int(fitted.head.of(np.array([lm.xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64), -1)[0])
+    vocabulary = {w for _, t in rows for w in tokens(t)}
+    head = {w: number(w) for w in vocabulary if number(w) >= 0}
+    assert len(head) == min(lm.HEAD, len(counts)) and min(counts[w] for w in head) >= max(n for w, n in counts.items() if w not in head)
+    of = lambda w: head.get(w, lm.HEAD + lm.tail_class(w))
+    n, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        n[of(w)] += c
+        kinds[of(w)] += 1
+    for i, t in rows:
+        before, total = [lm.START, lm.START], 0.0
+        for w in tokens(t):
+            c = of(w)
+            context = m.r[before[1]].astype(float) @ m.c1 + m.r[before[0]].astype(float) @ m.c2
+            s = m.q.astype(float) @ context + m.b
+            total += (s[c] - np.log(np.exp(s - s.max()).sum()) - s.max()) / math.log(10)
+            total += 0.0 if w in head else math.log10((counts[w] + 1) / (n[c] + kinds[c] + 1))
+            before = [before[1], c]
+        assert got[i].score == pytest.approx(total, rel=1e-4, abs=1e-3), i
+
+
 def test_lm_distribution_sums_to_one():
     rng = np.random.default_rng(1)
     m = lm.Model(np.full(lm.CLASSES, 1 / lm.CLASSES))

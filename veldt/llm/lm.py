@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import map_arrow, materialize, words
+from veldt.llm.common import forget, map_arrow, materialize, words
 
 #: Classes: head tokens, tail classes; the start of a text is the last class. Dimensions, noise samples, training rounds.
 HEAD, TAILS, DIM, NOISE, BATCH, ROUNDS = 760, 263, 32, 128, 1024, 2
@@ -172,14 +172,12 @@ def _count(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "token long, tail int, n long").groupBy("token").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
-def _by_class(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(CLASSES, DIM): sums of the rows of each class."""
-    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    order = np.argsort(w, kind="stable")
-    w = w[order]
-    starts = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1])
-    out[w[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+def _by_class(w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes that occur, and the sum of the rows of each."""
+    order = np.argsort(w.astype(np.int16), kind="stable")  # of 16 bits, so by radix
+    w = w.take(order)
+    starts = np.concatenate([[0], np.nonzero(w[1:] != w[:-1])[0] + 1])
+    return w[starts], np.add.reduceat(rows.take(order, 0), starts, axis=0)
 
 
 class Model:
@@ -209,26 +207,47 @@ class Model:
             at += m.size
 
     def learn(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, rng: np.random.Generator, state: dict, rate: float) -> None:
-        """One step of noise-contrastive estimation with AdaGrad; a batch shares its noise samples."""
+        """One step of noise-contrastive estimation with AdaGrad; a batch shares its noise samples. Rows without a gradient stay as they are."""
         noise = np.searchsorted(self.cumulated, rng.random(NOISE))
-        r1, r2 = self.r[w1], self.r[w2]
-        h = r1 @ self.c1 + r2 @ self.c2
-        q, q_noise = self.q[w], self.q[noise]
-        own = (h * q).sum(1) + self.b[w] - self.lift[w]
-        other = h @ q_noise.T + (self.b[noise] - self.lift[noise])
+        r1, r2 = self.r.take(w1, 0), self.r.take(w2, 0)
+        h = r1 @ self.c1
+        h += r2 @ self.c2
+        q, q_noise = self.q.take(w, 0), self.q[noise]
         n = np.float32(len(w))
-        g_own = 1 / (1 + np.exp(np.clip(own, -30, 30))) / n  # how far a true class is from being told from noise
-        g_other = -1 / (1 + np.exp(-np.clip(other, -30, 30))) / n
-        dh = g_own[:, None] * q + g_other @ q_noise
-        dq, db = _by_class(w, g_own[:, None] * h), np.bincount(w, g_own, CLASSES).astype(np.float32)
-        np.add.at(dq, noise, g_other.T @ h)
-        np.add.at(db, noise, g_other.sum(0))
-        dr = _by_class(w1, dh @ self.c1.T) + _by_class(w2, dh @ self.c2.T)
-        for name, d in (("r", dr), ("q", dq), ("b", db), ("c1", r1.T @ dh), ("c2", r2.T @ dh)):
-            m = getattr(self, name)
-            s = state.setdefault(name, np.full(m.shape, 1e-8, np.float32))
-            s += d * d
-            m += np.float32(rate) * d / np.sqrt(s)
+        own = np.einsum("ij,ij->i", h, q) + (self.b - self.lift).take(w)
+        other = h @ -q_noise.T  # and in place: minus the gradient of each noise sample, the sigmoid over n
+        other -= self.b[noise] - self.lift[noise]
+        with np.errstate(over="ignore"):
+            g_own = 1 / (n * (1 + np.exp(own)))  # how far a true class is from being told from noise
+            np.exp(other, out=other)
+        other += 1
+        np.divide(np.float32(-1) / n, other, out=other)
+        own_part = g_own[:, None]
+        dh = own_part * q
+        dh += other @ q_noise
+        # Gradients of the predicted vectors and biases, side by side: of the true classes and of the noise.
+        one = np.empty((len(w) + NOISE, DIM + 1), np.float32)
+        np.multiply(own_part, h, out=one[: len(w), :DIM])
+        one[: len(w), DIM] = g_own
+        one[len(w) :, :DIM] = other.T @ h
+        one[len(w) :, DIM] = other.sum(0)
+        at, d = _by_class(np.concatenate([w, noise]), one)
+        self._step("q", at, d[:, :DIM], state, rate)
+        self._step("b", at, d[:, DIM], state, rate)
+        from_1, from_2 = dh @ self.c1.T, dh @ self.c2.T
+        every = slice(None)
+        self._step("c1", every, r1.T @ dh, state, rate)
+        self._step("c2", every, r2.T @ dh, state, rate)
+        at, d = _by_class(np.concatenate([w1, w2]), np.concatenate([from_1, from_2]))
+        self._step("r", at, d, state, rate)
+
+    def _step(self, name: str, at, d: np.ndarray, state: dict, rate: float) -> None:
+        """AdaGrad on some rows of a matrix."""
+        m = getattr(self, name)
+        s = state.setdefault(name, np.full(m.shape, 1e-8, np.float32))
+        seen = s[at] + d * d
+        s[at] = seen
+        m[at] += np.float32(rate) * d / np.sqrt(seen)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural-log tables: the score of class w after w1 at one back, after w2 at two back, and the normaliser of (w2, w1)."""
@@ -272,6 +291,17 @@ def _contexts(w: np.ndarray) -> np.ndarray:
     return np.stack([w[at - 2], w[at - 1], w[at]])
 
 
+def _summed(copies: DataFrame, *by: str) -> DataFrame:
+    """Sums of `seen` and of the arrays x, place by place."""
+    keys = [f.name for f in copies.schema.fields if f.name in by]
+
+    def run(t: pa.Table) -> pa.Table:
+        x = np.asarray(t.column("x").combine_chunks().flatten()).reshape(t.num_rows, -1).sum(0)
+        return pa.table({**{k: t.column(k).slice(0, 1) for k in keys}, "seen": pa.array([sum(t.column("seen").to_pylist())]), "x": pa.array([x], pa.list_(pa.float64()))})
+
+    return copies.select(*keys, "seen", "x").groupBy(*keys).applyInArrow(run, ", ".join(f"{k} int" for k in keys) + ", seen double, x array<double>")
+
+
 def _train(docs: DataFrame, head: Lookup, unigram: np.ndarray) -> Model:
     model = Model(unigram)
     positions = _positions(docs, head)
@@ -283,10 +313,11 @@ def _train(docs: DataFrame, head: Lookup, unigram: np.ndarray) -> Model:
             start, state, seen = shared.value, {}, 0
             m = Model(start.unigram)
             m.load(start.flat())
-            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
             for b in batches:
                 for row in b.column(0):
-                    x = _contexts(np.asarray(row.values, dtype=np.int64))
+                    w = np.asarray(row.values)
+                    rng = np.random.default_rng([turn, xxhash.xxh3_64_intdigest(w.tobytes())])  # by content, not by where it runs
+                    x = _contexts(w.astype(np.int64))
                     x = x[:, rng.permutation(x.shape[1])]
                     for at in range(0, x.shape[1], BATCH):
                         m.learn(*x[:, at : at + BATCH], rng, state, 0.1)
@@ -294,18 +325,28 @@ def _train(docs: DataFrame, head: Lookup, unigram: np.ndarray) -> Model:
             if seen:
                 flat = m.flat().astype(np.float64) * seen
                 rows = np.resize(flat, (-(-len(flat) // 1024), 1024))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([float(seen)] * len(rows)), pa.array(list(rows), pa.list_(pa.float64()))], names=["row", "seen", "x"])
+                salt = TaskContext.get().partitionId() % 64
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([float(seen)] * len(rows)), pa.array(list(rows), pa.list_(pa.float64()))], names=["row", "salt", "seen", "x"])
 
-        copies = map_arrow(positions, run, "row int, seen double, x array<double>").select("row", "seen", F.posexplode("x").alias("at", "x"))
-        averaged = copies.groupBy("row", "at").agg((F.sum("x") / F.sum("seen")).alias("x")).toPandas().sort_values(["row", "at"])  # as many rows as the model has weights
-        if not len(averaged):
+        # Whole arrays are added, in two steps, so that no task holds those of all tasks.
+        copies = map_arrow(positions, run, "row int, salt int, seen double, x array<double>")
+        averaged = _summed(_summed(copies, "row", "salt"), "row").orderBy("row").collect()  # the model's weights
+        if not averaged:
             break
-        model.load(averaged["x"].to_numpy()[: len(model.flat())])
+        model.load(np.concatenate([np.array(r["x"]) / r["seen"] for r in averaged])[: len(model.flat())])
+    forget(positions)
     return model
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+class Fitted:
+    """What scoring needs of the training documents: the table of counts, sums of it, and the neural model."""
+
+    def __init__(self, counts: DataFrame, total: int, kinds: int, head: Lookup, hot: Lookup, tail_n: np.ndarray, tail_kinds: np.ndarray, model: Model):
+        self.counts, self.total, self.kinds, self.head, self.hot, self.tail_n, self.tail_kinds, self.model = counts, total, kinds, head, hot, tail_n, tail_kinds, model
+
+
+def fit(docs: DataFrame) -> Fitted:
+    """docs (doc_id, text): those that train are counted and learnt from."""
     docs = docs.select("doc_id", "text")
     counts = materialize(_count(docs), "counts")
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -324,11 +365,18 @@ def score(docs: DataFrame) -> DataFrame:
     mass = np.concatenate([head_n, np.zeros(HEAD - len(head_n)), tail_n, [0]]) + 0.5
     mass[len(head_n) : HEAD] = 1e-3  # head places that a small vocabulary leaves empty
     mass[START] = 1e-3
-    model = _train(docs, head, mass / mass.sum())
-    one, two, z = model.tables()
-    share = -np.log10(tail_n + tail_kinds + 1)
-    least = np.log10(total + kinds + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((head, hot, one, two, z, share))
+    return Fitted(counts, total, kinds, head, hot, tail_n, tail_kinds, _train(docs, head, mass / mass.sum()))
+
+
+def score(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
+    """(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), by the model of docs' own training documents unless another is given."""
+    docs = docs.select("doc_id", "text")
+    fitted = fit(docs) if fitted is None else fitted
+    counts, total = fitted.counts, fitted.total
+    one, two, z = fitted.model.tables()
+    share = -np.log10(fitted.tail_n + fitted.tail_kinds + 1)
+    least = np.log10(total + fitted.kinds + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.head, fitted.hot, one, two, z, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, often, one, two, z, share), rows = shared.value, 0
