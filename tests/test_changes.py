@@ -5,14 +5,14 @@ import pytest
 from veldt.database import Database
 from veldt.errors import EngineError, ExecError, StorageError, UsageError
 
-USERS = "CREATE TABLE users (id INT NOT NULL, name TEXT DEFAULT 'ready', active BOOL NOT NULL DEFAULT TRUE, score REAL)"
-PARENTS = "CREATE TABLE parents (id INT, CONSTRAINT pk_parents PRIMARY KEY (id) USING INDEX idx_parents_pk)"
+SENSORS = "CREATE TABLE sensors (code INT NOT NULL, unit TEXT DEFAULT 'kelvin', working BOOL NOT NULL DEFAULT FALSE, reading REAL)"
+HARBOURS = "CREATE TABLE harbours (id INT, CONSTRAINT pk_harbours PRIMARY KEY (id) USING INDEX harbours_pk_ix)"
 
 
-def children(action, name="children", parent="parents"):
+def ships(action, name="ships", parent="harbours"):
     return (
-        f"CREATE TABLE {name} (id INT, parent_id INT, CONSTRAINT pk_{name} PRIMARY KEY (id) USING INDEX idx_{name}_pk, "
-        f"CONSTRAINT fk_{name} FOREIGN KEY (parent_id) REFERENCES {parent} (id) USING INDEX idx_{name}_parent ON DELETE {action})"
+        f"CREATE TABLE {name} (id INT, berth INT, CONSTRAINT pk_{name} PRIMARY KEY (id) USING INDEX ix_{name}_pk, "
+        f"CONSTRAINT fk_{name} FOREIGN KEY (berth) REFERENCES {parent} (id) USING INDEX ix_{name}_parent ON DELETE {action})"
     )
 
 
@@ -21,14 +21,14 @@ def rows(db, table, columns="id"):
 
 
 def test_defaults_and_nullability(db, run):
-    run(USERS, "INSERT INTO users (id) VALUES (1)", "INSERT INTO users (score, id, name) VALUES (1.5, 2, NULL)")
-    assert db.rows("SELECT * FROM users ORDER BY id") == [(1, "ready", True, None), (2, None, True, 1.5)]
-    for sql in ("INSERT INTO users (name) VALUES ('x')", "INSERT INTO users VALUES (NULL, 'x', TRUE, 1.0)", "UPDATE users SET active = NULL"):
-        with pytest.raises(ExecError, match="NOT NULL constraint failed: users"):
+    run(SENSORS, "INSERT INTO sensors (code) VALUES (40)", "INSERT INTO sensors (reading, code, unit) VALUES (3.25, 41, NULL)")
+    assert db.rows("SELECT * FROM sensors ORDER BY code") == [(40, "kelvin", False, None), (41, None, False, 3.25)]
+    for sql in ("INSERT INTO sensors (unit) VALUES ('bar')", "INSERT INTO sensors VALUES (NULL, 'bar', TRUE, 1.0)", "UPDATE sensors SET working = NULL"):
+        with pytest.raises(ExecError, match="NOT NULL constraint failed: sensors"):
             db.exec(sql)
     with pytest.raises(ExecError, match="column count mismatch"):
-        db.exec("INSERT INTO users VALUES (1)")
-    assert len(db.rows("SELECT id FROM users")) == 2
+        db.exec("INSERT INTO sensors VALUES (40)")
+    assert len(db.rows("SELECT code FROM sensors")) == 2
 
 
 def test_update_applies_sets_in_order(db, run):
@@ -63,48 +63,48 @@ def test_unique_indexes(db, run):
 
 
 def test_primary_key(db, run):
-    run(PARENTS, "INSERT INTO parents VALUES (1)")
-    for sql, kind in (("INSERT INTO parents VALUES (1)", "primary_key_duplicate"), ("INSERT INTO parents VALUES (NULL)", "primary_key_null"), ("UPDATE parents SET id = 2", "primary_key_update")):
-        with pytest.raises(ExecError, match=f"constraint violation: table=parents constraint=pk_parents type={kind}"):
+    run(HARBOURS, "INSERT INTO harbours VALUES (1)")
+    for sql, kind in (("INSERT INTO harbours VALUES (1)", "primary_key_duplicate"), ("INSERT INTO harbours VALUES (NULL)", "primary_key_null"), ("UPDATE harbours SET id = 2", "primary_key_update")):
+        with pytest.raises(ExecError, match=f"constraint violation: table=harbours constraint=pk_harbours type={kind}"):
             db.exec(sql)
-    with pytest.raises(ExecError, match="index required by constraint"):
-        db.exec("DROP INDEX idx_parents_pk")
-    run(children("RESTRICT"), "ALTER TABLE parents DROP PRIMARY KEY", "INSERT INTO parents VALUES (2)", "INSERT INTO children VALUES (1, 77)")
+    with pytest.raises(ExecError, match="index required by constraint: table=harbours index=harbours_pk_ix constraint=pk_harbours type=primary_key$"):
+        db.exec("DROP INDEX harbours_pk_ix")
+    run(ships("RESTRICT"), "ALTER TABLE harbours DROP PRIMARY KEY", "INSERT INTO harbours VALUES (2)", "INSERT INTO ships VALUES (1, 77)")
     with pytest.raises(ExecError, match="primary key not found"):
-        db.exec("ALTER TABLE parents DROP PRIMARY KEY")
-    run("ALTER TABLE parents ADD CONSTRAINT pk PRIMARY KEY (id) USING INDEX idx_parents_pk")
+        db.exec("ALTER TABLE harbours DROP PRIMARY KEY")
+    run("ALTER TABLE harbours ADD CONSTRAINT pk PRIMARY KEY (id) USING INDEX harbours_pk_ix")
 
 
 def test_restrict(db, run):
-    run(PARENTS, children("RESTRICT"), *(f"INSERT INTO parents VALUES ({i})" for i in (1, 2, 3)), "INSERT INTO children VALUES (10, 2)")
-    assert db.exec("DELETE FROM parents WHERE id = 1") == 1
-    with pytest.raises(ExecError, match="table=children constraint=fk_children type=foreign_key_restrict"):
-        db.exec("DELETE FROM parents WHERE id = 2 OR id = 3")
-    assert rows(db, "parents") == [(2,), (3,)]
-    for sql, kind in (("INSERT INTO children VALUES (11, 9)", "foreign_key_missing_parent"), ("INSERT INTO children VALUES (11, NULL)", "foreign_key_null"), ("UPDATE children SET parent_id = 9", "foreign_key_missing_parent")):
+    run(HARBOURS, ships("RESTRICT"), *(f"INSERT INTO harbours VALUES ({i})" for i in (1, 2, 3)), "INSERT INTO ships VALUES (10, 2)")
+    assert db.exec("DELETE FROM harbours WHERE id = 1") == 1
+    with pytest.raises(ExecError, match="table=ships constraint=fk_ships type=foreign_key_restrict"):
+        db.exec("DELETE FROM harbours WHERE id = 2 OR id = 3")
+    assert rows(db, "harbours") == [(2,), (3,)]
+    for sql, kind in (("INSERT INTO ships VALUES (11, 9)", "foreign_key_missing_parent"), ("INSERT INTO ships VALUES (11, NULL)", "foreign_key_null"), ("UPDATE ships SET berth = 9", "foreign_key_missing_parent")):
         with pytest.raises(ExecError, match=kind):
             db.exec(sql)
-    assert db.exec("UPDATE children SET parent_id = 3") == 1
-    run("ALTER TABLE children DROP FOREIGN KEY fk_children", "DELETE FROM parents")
-    with pytest.raises(ExecError, match="foreign key not found: table=children constraint=fk_children"):
-        db.exec("ALTER TABLE children DROP FOREIGN KEY fk_children")
+    assert db.exec("UPDATE ships SET berth = 3") == 1
+    run("ALTER TABLE ships DROP FOREIGN KEY fk_ships", "DELETE FROM harbours")
+    with pytest.raises(ExecError, match="foreign key not found: table=ships constraint=fk_ships"):
+        db.exec("ALTER TABLE ships DROP FOREIGN KEY fk_ships")
 
 
 def test_cascade_chain(db, run):
-    run(PARENTS, children("CASCADE"), children("CASCADE", "grand", "children"), "INSERT INTO parents VALUES (1)", "INSERT INTO parents VALUES (2)", "INSERT INTO children VALUES (10, 1)", "INSERT INTO children VALUES (20, 2)", "INSERT INTO grand VALUES (100, 10)", "INSERT INTO grand VALUES (200, 20)")
-    assert db.exec("DELETE FROM parents WHERE id = 1") == 1
-    assert rows(db, "children") == [(20,)] and rows(db, "grand") == [(200,)]
-    run("DROP TABLE parents", "INSERT INTO children VALUES (30, 5)")
+    run(HARBOURS, ships("CASCADE"), ships("CASCADE", "crews", "ships"), "INSERT INTO harbours VALUES (1)", "INSERT INTO harbours VALUES (2)", "INSERT INTO ships VALUES (10, 1)", "INSERT INTO ships VALUES (20, 2)", "INSERT INTO crews VALUES (100, 10)", "INSERT INTO crews VALUES (200, 20)")
+    assert db.exec("DELETE FROM harbours WHERE id = 1") == 1
+    assert rows(db, "ships") == [(20,)] and rows(db, "crews") == [(200,)]
+    run("DROP TABLE harbours", "INSERT INTO ships VALUES (30, 5)")
 
 
 def test_illegal_cascades(db, run):
-    run(PARENTS, children("CASCADE", "b"), "CREATE TABLE c (id INT, p INT, q INT, CONSTRAINT fk_p FOREIGN KEY (p) REFERENCES parents (id) USING INDEX ix_p ON DELETE CASCADE)", "CREATE INDEX ix_q ON c (q)")
-    with pytest.raises(ExecError, match="multiple cascade paths"):
+    run(HARBOURS, ships("CASCADE", "b"), "CREATE TABLE c (id INT, p INT, q INT, CONSTRAINT fk_p FOREIGN KEY (p) REFERENCES harbours (id) USING INDEX ix_p ON DELETE CASCADE)", "CREATE INDEX ix_q ON c (q)")
+    with pytest.raises(ExecError, match="foreign key multiple cascade paths detected: source=harbours target=c constraints=b.fk_b,c.fk_q,c.fk_p$"):
         db.exec("ALTER TABLE c ADD CONSTRAINT fk_q FOREIGN KEY (q) REFERENCES b (id) USING INDEX ix_q ON DELETE CASCADE")
-    run("ALTER TABLE parents ADD COLUMN up INT NOT NULL", "CREATE INDEX ix_up ON parents (up)")
-    with pytest.raises(ExecError, match="cascade cycle"):
-        db.exec("ALTER TABLE parents ADD CONSTRAINT fk_up FOREIGN KEY (up) REFERENCES b (id) USING INDEX ix_up ON DELETE CASCADE")
-    run("ALTER TABLE parents ADD CONSTRAINT fk_self FOREIGN KEY (up) REFERENCES parents (id) USING INDEX ix_up ON DELETE RESTRICT", "INSERT INTO parents VALUES (1, 1)", "DELETE FROM parents")
+    run("ALTER TABLE harbours ADD COLUMN up INT NOT NULL", "CREATE INDEX ix_up ON harbours (up)")
+    with pytest.raises(ExecError, match="foreign key cascade cycle detected: constraints=harbours.fk_up,b.fk_b$"):
+        db.exec("ALTER TABLE harbours ADD CONSTRAINT fk_up FOREIGN KEY (up) REFERENCES b (id) USING INDEX ix_up ON DELETE CASCADE")
+    run("ALTER TABLE harbours ADD CONSTRAINT fk_self FOREIGN KEY (up) REFERENCES harbours (id) USING INDEX ix_up ON DELETE RESTRICT", "INSERT INTO harbours VALUES (1, 1)", "DELETE FROM harbours")
 
 
 def test_composite_keys(db, run):
@@ -170,13 +170,13 @@ def test_many_inserts_are_written_together(db, run, monkeypatch):
 
 
 def test_load(db, run, spark):
-    run(PARENTS)
-    assert db.load("parents", spark.range(50).selectExpr("cast(id AS int) AS id")) == 50
+    run(HARBOURS)
+    assert db.load("harbours", spark.range(50).selectExpr("cast(id AS int) AS id")) == 50
     with pytest.raises(ExecError, match="primary_key_duplicate"):
-        db.load("parents", spark.range(1).selectExpr("cast(id AS int) AS id"))
+        db.load("harbours", spark.range(1).selectExpr("cast(id AS int) AS id"))
     with pytest.raises(ExecError, match="type mismatch"):
-        db.load("parents", spark.range(1))
-    assert db.query_row("SELECT COUNT(*) FROM parents") == (50,)
+        db.load("harbours", spark.range(1))
+    assert db.query_row("SELECT COUNT(*) FROM harbours") == (50,)
 
 
 def test_paths(db, run):

@@ -35,6 +35,25 @@ class Mode:
     zone: str | None = None
 
 
+def _simple_fold(c: str) -> str:
+    """A character's simple case folding: one character for one."""
+    return next(x for x in (c.casefold(), c.lower(), c) if len(x) == 1)
+
+
+#: Characters that lower-casing alone doesn't fold, or folds by what stands beside them (the capital sigma), with their folding.
+_FOLDED = {c: f for c in map(chr, range(0x80, 0x1E944)) if not 0xD800 <= ord(c) < 0xE000 and ((f := _simple_fold(c)) != c.lower() or c == "\u03a3") and f != c}
+
+
+def folded(t: Typed, other: Typed) -> Column:
+    """A TEXT operand of = or !=, folded; other: what it is compared with, which may settle that lower-casing is enough."""
+    if t.constant:
+        return F.lit(t.value.translate(str.maketrans(_FOLDED)).lower())
+    if other.constant and other.value.isascii():
+        # Beyond ASCII only the long s and the kelvin sign fold to ASCII letters, and lower-casing folds the latter.
+        return F.lower(F.translate(t.col, "\u017f", "s")) if "s" in other.value.lower() else F.lower(t.col)
+    return F.lower(F.translate(t.col, "".join(_FOLDED), "".join(_FOLDED.values())))
+
+
 def raising(kind: str) -> Column:
     return F.raise_error(F.lit("execution: type mismatch")).cast(kind)
 
@@ -83,7 +102,10 @@ def compare(op: str, a: Typed, b: Typed, mode: Mode) -> Typed:
     elif a.kind != b.kind or (a.kind == ty.BOOL and order):
         raise mismatch()
     elif a.kind == ty.TEXT:
-        ac, bc = (F.lit(x.value.lower()) if x.constant else F.lower(x.col) for x in (a, b))
+        if order:
+            ac, bc = (F.lit(x.value.lower()) if x.constant else F.lower(x.col) for x in (a, b))
+        else:
+            ac, bc = folded(a, b), folded(b, a)
     elif a.kind == ty.TIMESTAMP:
         local = (not a.constant and a.local) or (not b.constant and b.local)
         ac, bc = instant(a, local, mode), instant(b, local, mode)

@@ -7,12 +7,12 @@ import uuid
 from copy import deepcopy
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldt import types as ty
-from veldt.errors import ExecError, StorageError, mismatch
+from veldt.errors import ExecError, StorageError, constraint_violation, mismatch
 from veldt.functions import typed as fn
 from veldt.functions.typed import Mode, Typed
 from veldt.operators import constraints as k
@@ -35,6 +35,8 @@ class Changes:
     def __init__(self, spark: SparkSession, files: Files, catalog: Catalog, mode: Mode):
         self.spark, self.files, self.mode = spark, files, mode
         self.catalog = deepcopy(catalog)
+        #: Folders written by this statement, for the caller to delete if it fails.
+        self.written: list[str] = []
 
     # Rows
 
@@ -61,6 +63,7 @@ class Changes:
 
     def _write(self, table: Table, df: DataFrame) -> str:
         folder = f"{len(table.columns)}-{uuid.uuid4().hex}"
+        self.written.append(f"data/{table.id}/{folder}")
         df.write.parquet(self.files.at("data", str(table.id), folder))
         return folder
 
@@ -94,10 +97,11 @@ class Changes:
             raise ExecError("system tables are read-only")
         return self.catalog.table(name)
 
-    def _check_parents(self, table: Table, df: DataFrame) -> None:
+    def _check_parents(self, table: Table, df: DataFrame, touched: set[str] | None = None) -> None:
+        """The foreign keys of df, rows of a table whose whole new state the catalog names."""
         for key in table.foreign:
-            parent = self.catalog.table(key.parent)
-            k.check_foreign(table, key, df, df if parent is table else self.rows(parent))
+            if touched is None or touched & set(key.columns):
+                k.check_foreign(table, key, df, self.rows(self.catalog.table(key.parent)))
 
     def insert(self, tree: n.Insert) -> int:
         table = self._writable(tree.table)
@@ -118,12 +122,11 @@ class Changes:
             cells.append(self._assigned(c, value).alias(c.name))
         row = self.spark.range(1).select(*cells, F.lit(table.next_pos).cast("long").alias(POS))
         row = self.spark.createDataFrame(row.collect(), schema(table))  # one row, its values settled
-        before = self.rows(table)
-        if table.primary or table.indexes:
-            k.check_rows(table, before.unionByName(row))
+        # Only the new row is looked at; keys are looked up by an equality that reaches the scan.
+        values = row.first().asDict()
+        k.check_rows(table, row, self.rows(table), values)
         for key in table.foreign:
-            parent = self.catalog.table(key.parent)
-            k.check_foreign(table, key, row, before.unionByName(row) if parent is table else self.rows(parent))
+            k.check_foreign_row(table, key, values, self.rows(self.catalog.table(key.parent)))
         table.data.append(self._write(table, row.coalesce(1)))
         table.next_pos += 1
         table.rows += 1
@@ -132,18 +135,19 @@ class Changes:
         return 1
 
     def load(self, name: str, df: DataFrame) -> int:
-        """Append a DataFrame of the table's columns, in its order; checked as any other change is, and in one job each."""
+        """Append a DataFrame of the table's columns, in its order. It is written once; its rows are checked by themselves and against the others' keys."""
         table = self._writable(name)
         if [(f.name, ty.of_spark(f.dataType)) for f in df.schema.fields] != [(c.name, ty.INT if c.kind == ty.TIME else c.kind) for c in table.columns]:
             raise mismatch()
+        before = self.rows(table)
         # Positions rise with partition and row; gaps don't matter.
-        placed = self._settle(df.withColumn(POS, F.monotonically_increasing_id() + table.next_pos))
-        whole = self.rows(table).unionByName(placed)
-        k.check_rows(table, whole)
-        self._check_parents(table, whole)
-        loaded = placed.count()
-        table.data.append(self._write(table, placed))
-        table.next_pos = (placed.agg(F.max(POS)).first()[0] or table.next_pos) + 1
+        folder = self._write(table, df.withColumn(POS, F.monotonically_increasing_id() + table.next_pos))
+        placed = self.spark.read.schema(schema(table)).parquet(self.files.at("data", str(table.id), folder))
+        k.check_rows(table, placed, before if table.data else None)
+        table.data.append(folder)
+        self._check_parents(table, placed)
+        loaded, last = placed.agg(F.count(F.lit(1)), F.max(POS)).first()
+        table.next_pos = table.next_pos if last is None else last + 1
         table.rows += loaded
         return loaded
 
@@ -156,22 +160,29 @@ class Changes:
         table = self._writable(tree.table)
         source, scope, where = self._matching(table, tree.where)
         df = source.df.withColumn("__hit", where)
+        for i, c in enumerate(c for c in (table.primary.columns if table.primary else []) if c in {name for name, _ in tree.sets}):
+            df = df.withColumn(f"__old{i}", F.col(f"`{c}`"))
         for name, expr in tree.sets:  # from left to right, each seeing what the ones before it made
             c = table.column(name)
             value = scope.value(expr)
             if value.kind == ty.NULL and c.not_null and self._any(df.filter("__hit")):
                 raise ExecError(f"NOT NULL constraint failed: {table.name}.{name}")
             df = df.withColumn(name, F.when(F.col("__hit"), self._assigned(c, value)).otherwise(F.col(f"`{name}`")))
-        done = self._settle(df)
-        hits = done.filter("__hit").count()
-        after = done.drop("__hit")
-        before = self.rows(table)
-        if table.primary and {name for name, _ in tree.sets} & set(table.primary.columns):
-            k.check_immutable(table, before, after)
-        k.check_rows(table, after)
-        self._check_parents(table, after)
-        self._replace(table, after)
-        return hits
+        touched = {name for name, _ in tree.sets}
+        key = [c for c in table.primary.columns if c in touched] if table.primary else []
+        moved = F.lit(False)
+        for i, c in enumerate(key):
+            moved = moved | ~F.col(f"`{c}`").eqNullSafe(F.col(f"__old{i}"))
+        # Written once; what must be known of the rows is counted on the way.
+        seen = Observation()
+        counted = df.withColumn("__moved", moved).observe(seen, F.count(F.when(F.col("__hit"), 1)).alias("hits"), F.count(F.when(F.col("__moved"), 1)).alias("moved"))
+        table.data = [self._write(table, counted.select(*[F.col(f"`{f.name}`") for f in schema(table).fields]))]
+        if seen.get["moved"]:
+            raise constraint_violation(table.name, table.primary.name, "primary_key_update")
+        after = self.rows(table)
+        k.check_rows(table, after, touched=touched - set(key))
+        self._check_parents(table, after, touched)
+        return seen.get["hits"]
 
     def _any(self, df: DataFrame) -> bool:
         return not df.isEmpty()
@@ -180,15 +191,15 @@ class Changes:
         table = self._writable(tree.table)
         source, _, where = self._matching(table, tree.where)
         if not self.catalog.children(table.name):
-            kept = self._settle(source.df.filter(~where))
-            hits = table.rows - kept.count()
-            self._replace(table, kept)
-            return hits
+            had = table.rows
+            self._replace(table, source.df.filter(~where))
+            return had - table.rows
         rows = {t.name: self.rows(t) for t in self.catalog.tables.values()}
         gone = k.cascade(self.catalog, rows, table.name, source.df.filter(where), self._settle)
         hits = gone[table.name].count()
         for name, positions in gone.items():
-            self._replace(self.catalog.table(name), rows[name].join(positions, POS, "left_anti"))
+            if name != table.name or hits:
+                self._replace(self.catalog.table(name), rows[name].join(positions, POS, "left_anti"))
         return hits
 
     # Schemas
@@ -250,7 +261,7 @@ class Changes:
         for h in holders:
             if h.index == index.name:
                 kind = "primary_key" if isinstance(h, n.Primary) else "foreign_key"
-                raise ExecError(f"index required by constraint: index={index.name} table={table.name} constraint={h.name} type={kind}")
+                raise ExecError(f"index required by constraint: table={table.name} index={index.name} constraint={h.name} type={kind}")
         table.indexes.remove(index)
         return 0
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.database import Database
+from veldt.plans.scenarios import scenarios
 from veldt.types import Int32, Int64
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "pages", "conversations"]
@@ -189,10 +190,10 @@ def _delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _insert_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = _managed(spark, "CREATE TABLE users (id INT NOT NULL, name TEXT DEFAULT 'ready', active BOOL NOT NULL DEFAULT TRUE, score REAL)")
-    db.exec("INSERT INTO users (id) VALUES (1)")
-    db.exec("INSERT INTO users VALUES (1 + 1, NULL, FALSE, 2.5)")
-    return db.query("SELECT * FROM users")
+    db = _managed(spark, "CREATE TABLE sensors (code INT NOT NULL, unit TEXT DEFAULT 'kelvin', working BOOL NOT NULL DEFAULT FALSE, reading REAL)")
+    db.exec("INSERT INTO sensors (code) VALUES (40)")
+    db.exec("INSERT INTO sensors VALUES (40 + 2, NULL, TRUE, 273.15)")
+    return db.query("SELECT * FROM sensors")
 
 
 def _transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +246,7 @@ for _name, _query, _oracle in (
     ("update_", _update, "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 3 OR n_nationkey < 4 THEN 'moved' ELSE n_name END AS label, CASE WHEN n_regionkey = 3 OR n_nationkey < 4 THEN 0 ELSE n_regionkey END AS region_id FROM nation"),
     ("delete_", _delete, "SELECT n_nationkey AS id, n_name AS label, n_regionkey AS region_id FROM nation WHERE NOT (n_nationkey > 7 AND n_regionkey <> 2)"),
     ("delete_cascade", _delete_cascade, "SELECT n_nationkey AS id, n_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE NOT (lower(r_name) = 'asia' OR r_regionkey = 0)"),
-    ("insert_default", _insert_default, "SELECT * FROM (VALUES (1, 'ready', TRUE, CAST(NULL AS DOUBLE)), (2, NULL, FALSE, 2.5)) AS t(id, name, active, score)"),
+    ("insert_default", _insert_default, "SELECT * FROM (VALUES (40, 'kelvin', FALSE, CAST(NULL AS DOUBLE)), (42, NULL, TRUE, 273.15)) AS t(code, unit, working, reading)"),
     ("transaction_", _transaction, "SELECT r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'renamed' ELSE r_name END AS label FROM region UNION ALL SELECT 99, 'new'"),
     ("alter_add_column", _add_column, "SELECT r_regionkey AS id, r_name AS label, 'old' AS note FROM region UNION ALL SELECT 99, 'new', NULL"),
     ("join_text_key", _text_key, "SELECT n_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey"),
@@ -254,3 +255,6 @@ for _name, _query, _oracle in (
     ("sys_indexes", _sys_indexes, "SELECT * FROM (VALUES ('regions_pk', TRUE, 'id'), ('nations_pk', TRUE, 'id'), ('nations_region', FALSE, 'region_id')) AS t(index_name, is_unique, column_name)"),
 ):
     QUERIES[_name], SQL[_name] = _query, _oracle
+
+for _name, (_query, _oracle) in scenarios(lambda spark, d: _managed(spark), lambda spark, d: _seeded(spark, d, nations=False), _seeded, lambda spark, d: _attached(spark, d, [])).items():
+    QUERIES[_name], SQL[_name] = _query, _oracle

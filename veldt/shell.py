@@ -18,20 +18,21 @@ HELP = {
     "create": "create PATH [ZONE]   make a database and open it",
     "open": "open PATH            open a database",
     "close": "close                close it",
-    "sample": "sample               make two small tables in the open database",
+    "sample": "sample PATH          make a database with two small tables and open it",
     "run": "run PATH             run the statements of a file, which end in semicolons",
     "tables": "tables               the tables' names",
     "schema": "schema [TABLE]       a table's columns, or all tables'",
-    "exit": "exit                 leave",
+    "exit": "quit, exit, q, bye   leave",
 }
+LEAVE = ("exit", "quit", "q", "bye", "\\q")
 STATEMENTS = """SELECT ... FROM t [a] [JOIN u [b] ON a.x = b.y] [WHERE ...] [ORDER BY ...]
 INSERT INTO t [(...)] VALUES (...) | UPDATE t SET c = ... [WHERE ...] | DELETE FROM t [WHERE ...]
 CREATE TABLE t (...) | CREATE [UNIQUE] INDEX i ON t (...) | DROP TABLE t | DROP INDEX i | ALTER TABLE t ..."""
 SAMPLE = (
-    "CREATE TABLE customers (cust_nbr INT, name TEXT, city TEXT, CONSTRAINT pk_customers PRIMARY KEY (cust_nbr) USING INDEX customers_pk)",
-    "CREATE TABLE orders (cust_nbr INT, order_nbr INT, total REAL, CONSTRAINT fk_customer FOREIGN KEY (cust_nbr) REFERENCES customers (cust_nbr) USING INDEX orders_customer ON DELETE CASCADE)",
-    "INSERT INTO customers VALUES (1, 'Alice', 'Oslo')", "INSERT INTO customers VALUES (2, 'Bob', 'Lima')",
-    "INSERT INTO orders VALUES (1, 101, 75.5)", "INSERT INTO orders VALUES (2, 102, 20.0)",
+    "CREATE TABLE boats (hull INT, name TEXT, built DATE, CONSTRAINT pk_boats PRIMARY KEY (hull) USING INDEX boats_pk)",
+    "CREATE TABLE trips (hull INT, miles REAL, port TEXT, CONSTRAINT fk_boat FOREIGN KEY (hull) REFERENCES boats (hull) USING INDEX trips_boat ON DELETE CASCADE)",
+    "INSERT INTO boats VALUES (7, 'Petrel', '1988-05-01')", "INSERT INTO boats VALUES (8, 'Auk', '2003-09-17')",
+    "INSERT INTO trips VALUES (7, 61.5, 'Bergen')", "INSERT INTO trips VALUES (8, 12.0, 'Leith')",
 )
 
 
@@ -55,6 +56,8 @@ class Shell:
         line = line.strip().rstrip(";")
         word, _, rest = line.partition(" ")
         try:
+            if line.lower() in LEAVE:
+                return self.do_exit("")
             if word.lower() in HELP:
                 return getattr(self, f"do_{word.lower()}")(rest.strip())
             return self.sql(line) if line else ""
@@ -101,9 +104,10 @@ class Shell:
         return "closed"
 
     def do_sample(self, rest: str) -> str:
+        said = self.do_create(rest)
         for s in SAMPLE:
             self.opened().exec(s)
-        return "made customers and orders"
+        return f"{said}, with boats and trips"
 
     def do_run(self, rest: str) -> str:
         self.opened()
