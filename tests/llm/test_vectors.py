@@ -100,3 +100,38 @@ def test_top_products_small_and_large(spark):
     assert sorted(tuple(r) for r in top_products.query(table(spark, few)).select("query_id", "rank", "vec_id", "score").collect()) == sorted(brute_top(few))
     huge = [(0, [1e30, 0.0], 0), (1, [1e30, 0.0], 0), (2, [-1e30, 1.0], 0)]
     assert [(r.vec_id, r.score) for r in top_products.query(table(spark, huge)).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_top_products_shuffles_only_what_is_reached(spark, monkeypatch):
+    """Short candidates stay where they are: fewer rows are dealt than candidates times blocks of queries."""
+    monkeypatch.setattr(top_products, "BLOCK", 30)
+    monkeypatch.setattr(top_products, "QUERIES", 5)
+    rng = np.random.default_rng(6)
+    length = np.where(np.arange(600) < 60, 8.0, 0.2)
+    rows = [(i, (v * s / np.linalg.norm(v)).astype(np.float32).tolist(), 0) for i, (v, s) in enumerate(zip(rng.normal(size=(600, 8)), length, strict=True))]
+    dealt, plain = [], top_products.met
+
+    def counted(sent, filed):
+        out = plain(sent, filed)
+        dealt.append((out.count(), filed.count() * sent.select("qb").distinct().count()))
+        return out
+
+    monkeypatch.setattr(top_products, "met", counted)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_products.query(table(spark, rows)).collect())
+    assert got == sorted(brute_top(rows))
+    assert sum(x for x, _ in dealt) < 0.35 * dealt[0][1], dealt
+
+
+def test_recall_where_the_index_prunes():
+    """On a grid of 1,024 cells, of which a query visits a small part, the pairs at the threshold or above are met."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 16))
+    x = centres[rng.integers(0, 300, 6000)] + 0.33 * rng.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embedding_dup.MultiIndex(x, 32, 0.9, 0.999)
+    cells = len(index.books[0]) * len(index.books[1])
+    assert cells >= 900 and index.visits < 0.5 * cells
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    visits, own = index.traverse(x), index.cells(x)
+    met = np.array([own[j] in visits[i] or own[i] in visits[j] for i, j in zip(a[:20_000], b[:20_000], strict=True)])
+    assert len(met) > 5000 and met.mean() >= 0.98

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from veldt.llm.common import map_arrow, materialize
 from veldt.llm.graph import components
-from veldt.llm.vectors import common_length, lists, matrix, one_per_id, spread, usable
+from veldt.llm.vectors import common_length, lists, matrix, one_per_id, usable
 
 #: Bounds: rows in the sample that fits the codebooks; codewords for a half; rows in a block.
-SAMPLE, MOST_CODEWORDS, BLOCK = 20_000, 256, 2048
+SAMPLE, MOST_CODEWORDS, BLOCK = 20_000, 1024, 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -65,7 +65,11 @@ class MultiIndex:
         side -= (side * q).sum(1)[:, None] * q
         side /= np.maximum(np.linalg.norm(side, axis=1)[:, None], 1e-300)
         other = cosine * q + np.sqrt(1 - cosine * cosine) * side
-        ranks = (self.scores(q) < np.take_along_axis(self.scores(q), self.cells(other)[:, None], 1)).sum(1) + 1
+        ranks, wanted = np.zeros(len(q), np.int64), self.cells(other)
+        step = max(1, 4_000_000 // (len(self.books[0]) * len(self.books[1])))  # distances to all cells, for a few rows at a time
+        for at in range(0, len(q), step):
+            s = self.scores(q[at : at + step])
+            ranks[at : at + step] = (s < np.take_along_axis(s, wanted[at : at + step, None], 1)).sum(1) + 1
         self.visits = int(np.quantile(ranks, recall, method="higher"))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -120,33 +124,17 @@ def _links(vectors: DataFrame, index: MultiIndex, cosine: float, d: int) -> Data
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.cells(u), pa.int32()), lists(index.traverse(u), pa.int32()), lists(u, pa.float64())], names=["vec_id", "cell", "visits", "u"])
 
     filed = materialize(map_arrow(vectors.select("vec_id", "v"), file, schema), "filed")
-    # At most MOST_CODEWORDS ** 2 rows each.
-    members = {r[0]: -(-r[1] // BLOCK) for r in filed.groupBy("cell").count().collect()}
-    visitors = {r[0]: -(-r[1] // BLOCK) for r in filed.select(F.explode("visits").alias("cell")).groupBy("cell").count().collect()}
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = len(index.books[0]) * len(index.books[1])
-        mb, qb = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
-        mb[list(members)], qb[list(visitors)] = list(members.values()), list(visitors.values())
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                ids, cell, salt = np.asarray(b.column(0)), np.asarray(b.column(1)), spread(np.asarray(b.column(0)))
-                visits = np.asarray(b.column(2).flatten()).reshape(len(ids), -1)
-                # As members: once for each block of visitors of the own cell. As visitors: once for each block of members.
-                row, k = _times(qb[cell])
-                as_member = row, cell[row], salt[row] % np.maximum(mb[cell[row]], 1), k
-                visits_of = b.column(2), pa.nulls(len(ids), pa.list_(pa.int32()))  # what members visit, to know which links they find themselves
-                flat = visits.ravel()
-                row, k = _times(mb[flat])
-                who = row // visits.shape[1]
-                as_visitor = who, flat[row], k, salt[who] // 8 % np.maximum(qb[flat[row]], 1)
-                for role, (r, c, m, q) in enumerate((as_member, as_visitor)):
-                    for cut in range(0, len(r), 8000):
-                        s = slice(cut, cut + 8000)
-                        yield pa.RecordBatch.from_arrays([pa.array(c[s], pa.int32()), pa.array(m[s], pa.int32()), pa.array(q[s], pa.int32()), pa.array(np.full(len(r[s]), role), pa.int32()), pa.array(ids[r[s]]), b.column(3).take(pa.array(r[s])), pa.array(cell[r[s]], pa.int32()), visits_of[role].take(pa.array(r[s]))], names=["cell", "mb", "qb", "role", "vec_id", "u", "own", "visits"])
-
-    dealt = map_arrow(filed, deal, "cell int, mb int, qb int, role int, vec_id long, u array<double>, own int, visits array<int>")
+    # Cells that have members and visitors, with the number of blocks of either; as many rows as cells, joined, not collected.
+    blocks = lambda x, name: x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    cells = blocks(filed, "mbs").join(blocks(filed.select(F.explode("visits").alias("cell")), "qbs"), "cell")
+    salt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # As members: once for each block of visitors of the own cell, with what they visit, to know which links they find themselves.
+    members = filed.join(cells, "cell").withColumn("qb", every("qbs")).select("cell", salt(1, "mbs").alias("mb"), "qb", F.lit(0).alias("role"), "vec_id", "u", F.col("cell").alias("own"), "visits")
+    # As visitors: once for each block of members of each cell visited.
+    visitors = filed.withColumn("own", F.col("cell")).withColumn("cell", F.explode("visits")).join(cells, "cell").withColumn("mb", every("mbs"))
+    visitors = visitors.select("cell", "mb", salt(2, "qbs").alias("qb"), F.lit(1).alias("role"), "vec_id", "u", "own", F.lit(None).cast("array<int>").alias("visits"))
+    dealt = members.unionByName(visitors)
 
     def verify(t: pa.Table) -> pa.Table:
         role, ids = np.asarray(t.column("role")), np.asarray(t.column("vec_id"))
@@ -171,12 +159,6 @@ def _links(vectors: DataFrame, index: MultiIndex, cosine: float, d: int) -> Data
     return dealt.groupBy("cell", "mb", "qb").applyInArrow(verify, "id long, links long, reaches long")
 
 
-def _times(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers, each n times, and a counter within each row."""
-    row = np.repeat(np.arange(len(n)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999) -> DataFrame:
     """(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept)."""
     named = materialize(one_per_id(vectors), "vectors")

@@ -1,9 +1,10 @@
 """Exact top-k search by integer inner products, norm-sorted with SVD-rotated partial sums.
 
 Vectors become integer vectors (floor of scale times each component). Candidates are cut into blocks of falling length;
-queries into blocks too. The first round scores each query against the longest candidates and takes its k-th best score
-as a floor. The second round sends a query only to blocks whose greatest length times the query's length reaches that
-floor (Cauchy-Schwarz). Within a pair of blocks both are rotated by the right singular vectors of a bounded sample, so
+queries into blocks too. Blocks are worked through in rounds, each four times as many as all before it. A query's k-th best score so
+far is its floor; a round sends a query only to blocks whose greatest length times the query's length reaches it
+(Cauchy-Schwarz), a block's candidates only to blocks of queries that reach it, and when no query reaches a round's blocks, none
+reaches the shorter ones either. Within a pair of blocks both are rotated by the right singular vectors of a bounded sample, so
 that the first coordinates carry most of the length; partial products of these plus the product of the residual
 lengths bound the score from above, and only candidates whose bound reaches the floor are scored exactly, in integers.
 A block's best k raise no wrong floor: ties at the floor pass, and ties in score go to the smaller id at the end.
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import map_arrow, materialize
+from veldt.llm.common import forget, map_arrow, materialize
 from veldt.llm.vectors import common_length, lists, matrix, one_per_id, spread, usable
 
 #: Bounds: rows in the sample for the rotation; rows in a block of candidates or queries; blocks by length before salting.
-SAMPLE, BLOCK, QUERIES, LENGTHS = 20_000, 4096, 2048, 256
+SAMPLE, BLOCK, QUERIES, LENGTHS = 20_000, 4096, 8192, 256
 #: Share of a block's bounds that may survive before the whole block is scored by one product.
 DENSE = 0.1
 
@@ -45,6 +46,8 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def block_top(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, basis: np.ndarray, k: int, head: int) -> list[tuple[int, int, int]]:
     """(query, vec, score): each query's k best of the candidates x that reach its floor."""
+    if len(q) > 1024:  # a bounded matrix of bounds at a time
+        return [row for at in range(0, len(q), 1024) for row in block_top(q[at : at + 1024], q_ids[at : at + 1024], floor[at : at + 1024], x, x_ids, basis, k, head)]
     by_length = np.argsort(-(x * x).sum(1), kind="stable")
     x, x_ids = x[by_length], x_ids[by_length]
     rq, rx = q @ basis, x @ basis
@@ -126,17 +129,36 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: int =
     asked = filed.filter(F.col("vec_id") % every == 0)
     query_blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("qb", F.shiftright("salt", 20) % query_blocks).drop("block")
-    copies = filed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-
-    first = asked.withColumn("block", F.lit(0).cast("long")).withColumn("floor", F.lit(float("-inf")))
-    opened = materialize(_products(first, copies.filter("block = 0"), basis, k, d), "opened")
-    floors = opened.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "floor")
-    floored = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    reachable = floored.join(F.broadcast(classes), F.col("length") * F.col("most") * (1 + 1e-9) + 1e-9 >= F.col("floor"))
-    sent = reachable.withColumn("block", F.explode(F.sequence("start", F.col("start") + F.col("parts") - 1))).filter("block > 0")
-    more = _products(sent, copies.filter("block > 0"), basis, k, d)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return opened.unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, low, high = None, 0, 1
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    while low < start:
+        sent = asked.withColumn("floor", F.lit(float("-inf")))
+        if best is not None:
+            floors = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "least")
+            sent = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("least", F.lit(float("-inf")))).drop("least")
+        sent = materialize(reaching(sent, classes, low, high), "sent")
+        if sent.isEmpty():
+            forget(sent)
+            break
+        found = _products(sent, met(sent, filed), basis, k, d)
+        found = found if best is None else best.unionByName(found)
+        old, best = best, materialize(found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).drop("rank"), "best")
+        forget(sent, old)
+        low, high = high, high * 4
+    if best is None:
+        return spark.createDataFrame([], schema)
+    return best.withColumn("rank", F.row_number().over(by_score)).select("query_id", "rank", "vec_id", "score")
+
+
+def reaching(asked: DataFrame, classes: DataFrame, low: int, high: int) -> DataFrame:
+    """asked, with floors, once for each block from low up to high that may hold a score of a query's floor or more."""
+    reach = asked.join(F.broadcast(classes.filter((F.col("start") < high) & (F.col("start") + F.col("parts") > low))), F.col("length") * F.col("most") * (1 + 1e-9) + 1e-9 >= F.col("floor"))
+    return reach.withColumn("block", F.explode(F.sequence(F.greatest("start", F.lit(low).cast("long")), F.least(F.col("start") + F.col("parts"), F.lit(high).cast("long")) - 1))).select("block", "qb", "vec_id", "v", "floor")
+
+
+def met(sent: DataFrame, filed: DataFrame) -> DataFrame:
+    """The candidates, once for each block of queries that reaches their block."""
+    return filed.select("block", "vec_id", "v").join(sent.select("block", "qb").distinct(), "block")
 
 
 def query(vectors: DataFrame) -> DataFrame:
