@@ -145,3 +145,42 @@ def test_line_dedup(docs_of):
         assert got[i]["__gone"] == len(gone[i])
     assert got[900].text is None and got[901].text == "" and got[None].text == "no id here at all" and out.count() == len(rows) + len(edge_rows())
     assert lines.query(docs_of([])).collect() == []
+
+
+def test_lines_that_are_alike_but_not_linked(docs_of, monkeypatch):
+    """A large group of lines that share most words, each too far from the others but for some: no pair is lost, and rows don't grow with its square."""
+    import random
+
+    from veldt.llm import common
+
+    rng = random.Random(5)
+    frame = [f"f{i}" for i in range(13)]
+    rows = [(i, " ".join([*frame, *(f"x{rng.randrange(40)}" for _ in range(4))])) for i in range(700)]  # 13 of 21 shared: 0.62
+    rows += [(1000 + i, rows[i][1] + f" y{i}") for i in range(0, 60)]  # and some that link
+    gone = brute_lines(rows)
+    written = []
+    plain = common.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: (lambda out: (written.append((name, out.count())), out)[1])(plain(df, name)))
+    for most in (20_000, 64):
+        monkeypatch.setattr(lines, "MOST", most)
+        got = {r.doc_id: sorted(r.gone) for r in lines.removed_lines(docs_of(rows).select("doc_id", "text")).collect()}
+        assert got == {i: sorted(k) for i, k in gone.items()} and len(got) >= 60
+    assert all(n < 30 * len(rows) for name, n in written if name in ("edges", "groups", "families")), written
+
+
+def test_lines_link_in_chains_and_stars(docs_of):
+    """Random lines about the threshold, of all lengths: what remains is what brute force leaves."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        text = []
+        for n in (3, 4, 5, 8, 9, 10, 20, 60, 130):
+            w = [f"g{n}_{k}" for k in range(n)]
+            for _ in range(rng.randint(0, max(1, n // 7))):
+                w[rng.randrange(n)] = f"z{rng.randrange(30)}"
+            text.append(" ".join(w[: n - (rng.random() < 0.2)]))
+        rows.append((i, "\n".join(text)))
+    got = {r.doc_id: sorted(r.gone) for r in lines.removed_lines(docs_of(rows).select("doc_id", "text")).collect()}
+    assert got == {i: sorted(k) for i, k in brute_lines(rows).items()}
