@@ -63,11 +63,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @_stage(3)
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, on five-word shingles, stays: the one with the smallest id."""
-    copies = near_dup.near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("copy"))
+    copy = unused("copy", docs.columns)
+    copies = near_dup.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias(copy))
     copies = materialize(copies.distinct(), "copies")
     # Texts that the bitmap clears stay where they are; only the others meet the list.
-    doubtful = F.coalesce(may_hold(bitmap(copies, "copy"), F.col("doc_id")), F.lit(False))
-    stay = docs.filter(doubtful).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    doubtful = F.coalesce(may_hold(bitmap(copies, copy), F.col("doc_id")), F.lit(False))
+    stay = docs.filter(doubtful).join(copies, F.col("doc_id") == F.col(copy), "left_anti")
     return docs.filter(~doubtful).unionByName(stay.select(*quoted(docs.columns)))
 
 
