@@ -132,7 +132,7 @@ def small_corpus():
     return [(i, text(), ("en", "fr", None, "rare")[i % 4 if i % 40 == 3 else i % 3]) for i in range(400)] + [(400, "w1 W2 unheard of w1", "en"), (401, "unheard", "xx"), (None, "w1 w2 w3", "en")]
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 50])
+@pytest.mark.parametrize("hot", [1 << 20, 50])
 def test_quality_equals_brute_force(spark, docs_of, monkeypatch, hot):
     """Scores, thresholds and verdicts by definition: all orders, texts of any length, whatever is looked up in place or joined."""
     monkeypatch.setattr(quality, "HOT", hot)
