@@ -45,9 +45,23 @@ START = CLASSES - 1
 HOT = 1 << 17
 
 
+class Tails(dict):
+    """Tail classes by the last twelve bytes of words, which hold their last three characters; the class is of these three."""
+
+    def __missing__(self, end: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        last = end[-3:] if end[-3:].isascii() else end.decode("utf-8", "replace")[-3:].encode()
+        self[end] = out = zlib.crc32(last) % TAILS
+        return out
+
+
+_tails = Tails()
+
+
 def tail_class(word: bytes) -> int:
     """The tail class of a word, by its last three characters."""
-    return zlib.crc32(word.decode("utf-8", "replace")[-3:].encode()) % TAILS
+    return _tails[word[-3:] if word[-3:].isascii() else word[-12:]]
 
 
 class Lookup:
@@ -93,7 +107,7 @@ class Words(dict):
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         new = slice(self.done, upto)
         self.hash[new] = np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], np.uint64).view(np.int64)
-        self.tail[new] = [tail_class(w) for w in fresh]
+        self.tail[new] = list(map(tail_class, fresh))
         if self.head is not None:
             at = self.head.of(self.hash[new], -1)
             self.cls[new] = np.where(at < 0, HEAD + self.tail[new], at)
@@ -172,12 +186,28 @@ def _count(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "token long, tail int, n long").groupBy("token").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
-def _by_class(w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes that occur, and the sum of the rows of each."""
-    order = np.argsort(w.astype(np.int16), kind="stable")  # of 16 bits, so by radix
-    w = w.take(order)
-    starts = np.concatenate([[0], np.nonzero(w[1:] != w[:-1])[0] + 1])
-    return w[starts], np.add.reduceat(rows.take(order, 0), starts, axis=0)
+class _Classes:
+    """The classes that occur in a column of a batch: `own`, where each position's stands among them (`at`), and sums over the positions of each."""
+
+    def __init__(self, w: np.ndarray):
+        self.order = np.argsort(w.astype(np.int16), kind="stable")  # of 16 bits, so by radix
+        by_class = w.take(self.order)
+        new = np.concatenate([[True], by_class[1:] != by_class[:-1]])
+        self.starts = np.nonzero(new)[0]
+        self.own = by_class[self.starts]
+        self.at = np.empty(len(w), np.int64)
+        self.at[self.order] = np.cumsum(new) - 1
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(rows.take(self.order, 0), self.starts, axis=0)
+
+
+def _about_exp(x: np.ndarray) -> np.ndarray:
+    """exp to within 4 percent, by writing x into a float's exponent and mantissa; x is overwritten."""
+    np.clip(x, -80, 80, out=x)
+    x *= np.float32(2**23 / np.log(2))
+    x += np.float32(127 * 2**23 - 366_393)
+    return x.astype(np.int32).view(np.float32)
 
 
 class Model:
@@ -209,17 +239,18 @@ class Model:
     def learn(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, rng: np.random.Generator, state: dict, rate: float) -> None:
         """One step of noise-contrastive estimation with AdaGrad; a batch shares its noise samples. Rows without a gradient stay as they are."""
         noise = np.searchsorted(self.cumulated, rng.random(NOISE))
-        r1, r2 = self.r.take(w1, 0), self.r.take(w2, 0)
-        h = r1 @ self.c1
-        h += r2 @ self.c2
+        # What depends on a context class alone is worked out once for each class, and gradients are added up by class first.
+        k1, k2 = _Classes(w1), _Classes(w2)
+        r1, r2 = self.r[k1.own], self.r[k2.own]
+        h = (r1 @ self.c1).take(k1.at, 0)
+        h += (r2 @ self.c2).take(k2.at, 0)
         q, q_noise = self.q.take(w, 0), self.q[noise]
         n = np.float32(len(w))
         own = np.einsum("ij,ij->i", h, q) + (self.b - self.lift).take(w)
         other = h @ -q_noise.T  # and in place: minus the gradient of each noise sample, the sigmoid over n
         other -= self.b[noise] - self.lift[noise]
-        with np.errstate(over="ignore"):
-            g_own = 1 / (n * (1 + np.exp(own)))  # how far a true class is from being told from noise
-            np.exp(other, out=other)
+        g_own = 1 / (n * (1 + np.exp(np.minimum(own, 80))))  # how far a true class is from being told from noise
+        other = _about_exp(other)
         other += 1
         np.divide(np.float32(-1) / n, other, out=other)
         own_part = g_own[:, None]
@@ -231,15 +262,20 @@ class Model:
         one[: len(w), DIM] = g_own
         one[len(w) :, :DIM] = other.T @ h
         one[len(w) :, DIM] = other.sum(0)
-        at, d = _by_class(np.concatenate([w, noise]), one)
-        self._step("q", at, d[:, :DIM], state, rate)
-        self._step("b", at, d[:, DIM], state, rate)
-        from_1, from_2 = dh @ self.c1.T, dh @ self.c2.T
-        every = slice(None)
-        self._step("c1", every, r1.T @ dh, state, rate)
-        self._step("c2", every, r2.T @ dh, state, rate)
-        at, d = _by_class(np.concatenate([w1, w2]), np.concatenate([from_1, from_2]))
-        self._step("r", at, d, state, rate)
+        k = _Classes(np.concatenate([w, noise]))
+        d = k.sums(one)
+        d1, d2 = k1.sums(dh), k2.sums(dh)
+        dr = np.zeros_like(self.r)
+        dr[k1.own] = d1 @ self.c1.T
+        dr[k2.own] += d2 @ self.c2.T
+        self._step("q", k.own, d[:, :DIM], state, rate)
+        self._step("b", k.own, d[:, DIM], state, rate)
+        self._step("c1", slice(None), r1.T @ d1, state, rate)
+        self._step("c2", slice(None), r2.T @ d2, state, rate)
+        met = np.zeros(CLASSES, bool)
+        met[k1.own] = met[k2.own] = True
+        met = np.nonzero(met)[0]
+        self._step("r", met, dr[met], state, rate)
 
     def _step(self, name: str, at, d: np.ndarray, state: dict, rate: float) -> None:
         """AdaGrad on some rows of a matrix."""
