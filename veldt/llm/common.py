@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -41,6 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Queries that run in here leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -48,12 +60,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _scratch:
         atexit.register(clear_scratch)
     _scratch[path] = spark
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with tidy(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm.blocks import blocks, linked, lowest
-from veldt.llm.common import FILTER_LONGS, bitmap, forget, map_arrow, materialize, may_hold, mix, quoted, unused
+from veldt.llm.common import FILTER_LONGS, bitmap, forget, map_arrow, materialize, may_hold, mix, quoted, tidy, unused
 from veldt.llm.graph import components
 
 BUCKETS, LEAST_WORDS, PERCENT = 1 << 20, 1, 80
@@ -157,7 +157,8 @@ def _survey(docs: DataFrame, least_words: int) -> DataFrame:
 
 def _levels(survey: DataFrame) -> Broadcast:
     """A level for each bucket, larger where its tokens occur more often: four to each doubling."""
-    counted = survey.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    with tidy(survey.sparkSession):
+        counted = survey.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     levels = np.zeros(BUCKETS, np.uint8)
     levels[np.asarray(counted.column("bucket"))] = np.log2(np.asarray(counted.column("n"))) * 4
     return survey.sparkSession.sparkContext.broadcast(levels)
