@@ -164,6 +164,16 @@ def test_quality_equals_brute_force(spark, docs_of, monkeypatch, hot):
         assert r.kept == (not ws or r.score <= r.threshold)
 
 
+def test_quality_trains_on_all_trusted_documents(spark, docs_of):
+    """More documents than any bound: the words of each of the training half are known, those of the other half are not."""
+    rows = [(i, f"w{i}") for i in range(9000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    half = {r.doc_id: r.trains for r in quality._trusted(labels).collect()}
+    got = {r.doc_id: r["__log10p"] for r in quality.score(docs_of([*rows, (9000, "unheard")]), quality.train(docs_of(rows), labels)).collect()}
+    assert sum(half.values()) > 4200
+    assert {i for i in half if got[i] > got[9000] + 0.01} == {i for i in half if half[i]}
+
+
 def test_trigram_probabilities_sum_to_one(spark, docs_of):
     rows = [(i, " ".join(f"w{(i * k * k) % 37}" for k in range(60))) for i in range(80)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")

@@ -1,9 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, by sharded count joins.
 
-Trusted are documents whose label says so. One half of them, by a hash of the id, may train the model: the
-`train_docs` of the smallest hashes, with their whole texts. Their trigrams are counted in Spark, sharded by trigram;
+Trusted are documents whose label says so. One half of them, by a hash of the id, trains the model: all of them, with
+their whole texts. Their trigrams are counted in Spark, sharded by trigram;
 continuation counts, contexts and probabilities of all three orders are aggregates and joins of these count tables. Only
-the counts of counts, which give the discounts, and sums come to the driver.
+the counts of counts, which give the discounts, and sums come to the driver. This is done for SLICES shares of the middle
+words, one after the other, so that the shuffle files of one share at a time are on disk, and counts go when they are used up.
 
 The model is one table (key, x) of n-gram hashes, laid out so that a document's log10 probability is a sum over its
 n-grams: log p(w | u v) = unknown + gain(w) + left(v) + gain(v w) + left(u v) + gain(u v w), where an n-gram that training
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from veldt.llm.common import Hashes, bitmap, forget, map_arrow, materialize, may_hold, mix, quoted, tidy, unused, words
 
-TRAIN_DOCS = 4000
+#: Shares of the n-grams that are counted and joined one after the other.
+SLICES = 4
 #: N-grams that are looked up in place, the most frequent of training; longs of the bitmap of all of them.
 HOT, BITS = 1 << 20, 1 << 20
 #: Languages up to which the bounds, a row for each, are broadcast.
@@ -80,31 +82,71 @@ def _summary(counts: DataFrame, count: str) -> tuple[list[float], float, int, in
 def _trusted(labels: DataFrame) -> DataFrame:
     """(doc_id, trains) of trusted documents; trains: of the half that may train."""
     t = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = 1 and most = 1")
-    return t.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("trains"))
+    return t.select("doc_id", _half("doc_id").alias("trains"))
 
 
-def _trigrams(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
-    """(u, v, w, c): the training documents' trigrams of word hashes, each text after two starts."""
-    drawn = _trusted(labels).filter("trains").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id", "left_semi")  # train_docs ids at most
+def _half(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)) == 0
+
+
+def _training(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> DataFrame:
+    """Written down: (text) of the documents that train, all of them or where given the `train_docs` of the smallest hashes."""
+    drawn = _trusted(labels).filter("trains")
+    if train_docs is not None:
+        drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    drawn = materialize(drawn.select("doc_id"), "drawn")
+    bits = bitmap(drawn, "doc_id")
+    # Only texts that the half and the bitmap let through meet the list, should the join be a shuffled one.
+    id_ = F.col("doc_id").cast(drawn.schema["doc_id"].dataType)
+    may = docs.select(id_.alias("doc_id"), "text").filter(_half("doc_id") & may_hold(bits, F.col("doc_id")))
+    chosen = materialize(may.join(drawn, "doc_id", "left_semi").select("text"), "training")
+    forget(drawn, bits)
+    return chosen
+
+
+def _share(word: str, k: int) -> Column:
+    return F.pmod(F.col(word), F.lit(SLICES)) == k
+
+
+def _counted(chosen: DataFrame, k: int | None = None) -> DataFrame:
+    """(u, v, w, c): the texts' trigrams of word hashes, each text after two starts; of all, or of those whose v is of share k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            for text in b.column(1):
+            held, size = [], 0
+            for i, text in enumerate(b.column(0)):
                 ws = words(text.as_py())
                 if ws:
                     h = np.concatenate([[_START, _START], hashes.of(ws)]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k : len(h) - 2 + k]) for k in range(3)], names=["u", "v", "w"])
+                    at = np.arange(len(ws)) if k is None else np.nonzero(h[1:-1] % SLICES == k)[0]
+                    held.append([h[at + place] for place in range(3)])
+                    size += len(at)
+                if held and (size >= 50_000 or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["u", "v", "w"])
+                    held, size = [], 0
 
     return map_arrow(chosen, run, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _trigrams(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> DataFrame:
+    """(u, v, w, c): the training documents' trigrams."""
+    return _counted(_training(docs, labels, train_docs))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one schema that `materialize` returned, as one."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p.scratch_path for p in parts])
+
+
 class Model:
     """The table (key, x, rank) of n-grams, the log10 probability of an unknown word, and what each text with words adds for its start."""
 
-    def __init__(self, table: DataFrame, unknown: float, start: float):
-        self.table, self.unknown, self.start = table, unknown, start
+    def __init__(self, parts: list[DataFrame], unknown: float, start: float):
+        self.parts, self.table, self.unknown, self.start = parts, _all(parts), unknown, start
+
+    def forget(self) -> None:
+        forget(*self.parts)
 
 
 def _keyed(grams: DataFrame) -> DataFrame:
@@ -129,47 +171,65 @@ def _keyed(grams: DataFrame) -> DataFrame:
     return map_arrow(grams.select(F.col("kind").cast("long").alias("kind"), "u", "v", "w", "x", "c"), run, "key long, x double, rank long")
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """The model of the documents drawn for training; None if they have no words."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> Model | None:
+    """The model of the documents that train; None if they have no words."""
     start = F.lit(int(_START)).cast("long")
-    three = materialize(_trigrams(docs, labels, train_docs), "trigrams")
-    # Bigrams: continuation counts, but for those at a text's start, which nothing can precede, their plain counts.
-    two = three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("before"), F.sum("c").alias("c"))
-    two = materialize(two.select("v", "w", F.when(F.col("v") == start, F.col("c")).otherwise(F.col("before")).alias("a"), "c"), "bigrams")
-    one = materialize(two.groupBy("w").agg(F.count(F.lit(1)).alias("a"), F.sum("c").alias("c")), "words")
-    (d1, held1, total, kinds), (d2, *_), (d3, *_) = _summary(one, "a"), _summary(two, "a"), _summary(three, "c")
+    chosen = _training(docs, labels, train_docs)
+    threes, twos = [], []
+    for k in range(SLICES):
+        three = materialize(_counted(chosen, k), "trigrams")
+        # Bigrams: continuation counts, but for those at a text's start, which nothing can precede, their plain counts.
+        two = three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("before"), F.sum("c").alias("c"))
+        two = materialize(two.select("v", "w", F.when(F.col("v") == start, F.col("c")).otherwise(F.col("before")).alias("a"), "c"), "bigrams")
+        threes.append(three)
+        twos.append(two)
+    forget(chosen)
+    one = materialize(_all(twos).groupBy("w").agg(F.count(F.lit(1)).alias("a"), F.sum("c").alias("c")), "words")
+    words_ = one
+    (d1, held1, total, kinds), (d2, *_), (d3, *_) = _summary(one, "a"), _summary(_all(twos), "a"), _summary(_all(threes), "c")
     if not kinds:
-        forget(one, two, three)
+        forget(one, *twos, *threes)
         return None
     rest = held1 / total / (kinds + 2)  # the words, the start, and all that training lacks
+    unknown = float(np.log10(rest))
     one = one.withColumn("p", (F.col("a") - _held(d1, "a")) / F.lit(float(total)) + F.lit(rest))
-    context = two.groupBy("v").agg(F.sum("a").alias("s"), F.sum(_held(d2, "a")).alias("held"), F.sum("c").alias("in_c"))
-    context = context.select("v", "s", F.col("held").alias("h"), F.log10(F.col("held") / F.col("s")).alias("left"), "in_c")
-    contexts = three.groupBy("u", "v").agg(F.sum("c").alias("s"), F.sum(_held(d3, "c")).alias("h"))
-    contexts = materialize(contexts.withColumn("left", F.log10(F.col("h") / F.col("s"))), "contexts")
-    pairs = two.join(context.drop("in_c"), "v").join(one.select("w", F.col("p").alias("p1")), "w")
-    pairs = pairs.withColumn("p", (F.col("a") - _held(d2, "a")) / F.col("s") + F.col("h") / F.col("s") * F.col("p1"))
-    pairs = materialize(pairs.select("v", "w", "c", "p", (F.log10("p") - F.col("left") - F.log10("p1")).alias("gain")), "pairs")
-    triples = three.join(contexts, ["u", "v"]).join(pairs.select("v", "w", F.col("p").alias("p2")), ["v", "w"])
-    p3 = (F.col("c") - _held(d3, "c")) / F.col("s") + F.col("h") / F.col("s") * F.col("p2")
 
     def rows(df: DataFrame, kind: int, x: Column, u: str | None = None, v: str | None = None, w: str = "w", c: str = "c") -> DataFrame:
         place = lambda n: F.col(n) if n else start
         return df.select(F.lit(kind).alias("kind"), place(u).alias("u"), place(v).alias("v"), F.col(w).alias("w"), x.alias("x"), F.col(c).cast("long").alias("c"))
 
-    unknown = float(np.log10(rest))
-    as_context = contexts.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("left").alias("cl"))
-    single = one.join(context.select(F.col("v").alias("w"), "left"), "w", "left")
-    both = pairs.join(as_context, (F.col("v") == F.col("cu")) & (F.col("w") == F.col("cv")), "left")
+    # All that a trigram needs is of the share of its middle word, but for the words' own probabilities.
+    heads, contexts, pairs, parts = [], [], [], []
+    for two, three in zip(twos, threes, strict=True):
+        head = two.groupBy("v").agg(F.sum("a").alias("s"), F.sum(_held(d2, "a")).alias("h"), F.sum("c").alias("in_c"))
+        head = materialize(head.withColumn("left", F.log10(F.col("h") / F.col("s"))), "heads")
+        context = materialize(three.groupBy("u", "v").agg(F.sum("c").alias("s"), F.sum(_held(d3, "c")).alias("h")), "contexts")
+        pair = two.join(head.select("v", "s", "h", "left"), "v").join(one.select("w", F.col("p").alias("p1")), "w")
+        pair = pair.withColumn("p", (F.col("a") - _held(d2, "a")) / F.col("s") + F.col("h") / F.col("s") * F.col("p1"))
+        pair = materialize(pair.select("v", "w", "c", "p", (F.log10("p") - F.col("left") - F.log10("p1")).alias("gain")), "pairs")
+        triple = three.join(context, ["u", "v"]).join(pair.select("v", "w", F.col("p").alias("p2")), ["v", "w"])
+        p3 = (F.col("c") - _held(d3, "c")) / F.col("s") + F.col("h") / F.col("s") * F.col("p2")
+        parts.append(materialize(_keyed(rows(triple, TRIPLE, F.log10(p3) - F.log10(F.col("h") / F.col("s")) - F.log10("p2"), u="u", v="v")), "model"))
+        forget(two, three)
+        heads.append(head)
+        contexts.append(context)
+        pairs.append(pair)
+    left = F.log10(F.col("h") / F.col("s"))
+    as_context = _all(contexts).select(F.col("u").alias("cu"), F.col("v").alias("cv"), left.alias("cl"))
+    for k, pair in enumerate(pairs):
+        both = pair.join(as_context.filter(_share("cu", k)), (F.col("v") == F.col("cu")) & (F.col("w") == F.col("cv")), "left")
+        table = rows(both, PAIR, F.col("gain") + F.coalesce("cl", F.lit(0.0)), v="v")
+        table = table.unionByName(rows(contexts[k].filter(F.col("v") != start), LAST_PAIR, left, v="u", w="v", c="s"))
+        parts.append(materialize(_keyed(table), "model"))
+        forget(pair)
+    head = _all(heads)
+    single = one.join(head.select(F.col("v").alias("w"), "left"), "w", "left")
     table = rows(single, WORD, F.log10("p") - F.lit(unknown) + F.coalesce("left", F.lit(0.0)))
-    table = table.unionByName(rows(context.filter(F.col("v") != start), LAST_WORD, F.col("left"), w="v", c="in_c"))
-    table = table.unionByName(rows(both, PAIR, F.col("gain") + F.coalesce("cl", F.lit(0.0)), v="v"))
-    table = table.unionByName(rows(contexts.filter(F.col("v") != start), LAST_PAIR, F.col("left"), v="u", w="v", c="s"))
-    table = table.unionByName(rows(triples, TRIPLE, F.log10(p3) - F.col("left") - F.log10("p2"), u="u", v="v"))
-    first = context.filter(F.col("v") == start).agg(F.sum("left")).first()[0] + contexts.filter(F.col("v") == start).agg(F.sum("left")).first()[0]
-    table = materialize(_keyed(table), "model")
-    forget(one, two, three, contexts, pairs)
-    return Model(table, unknown, float(first))
+    table = table.unionByName(rows(head.filter(F.col("v") != start), LAST_WORD, F.col("left"), w="v", c="in_c"))
+    parts.append(materialize(_keyed(table), "model"))
+    first = head.filter(F.col("v") == start).agg(F.sum("left")).first()[0] + _all(contexts).filter(F.col("v") == start).agg(F.sum(left)).first()[0]
+    forget(words_, *heads, *contexts)
+    return Model(parts, unknown, float(first))
 
 
 def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +397,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = materialize(score(slim, model, ("doc_id", "lang", "__a", "__b")), "scored")
     bounds = limits(scored, labels)
     gone = materialize(judge(scored, bounds).filter("not __kept").select("__a", "__b").distinct(), "gone")
-    forget(model.table, scored, bounds)
+    model.forget()
+    forget(scored, bounds)
     a, b = unused("__a", docs.columns), unused("__b", docs.columns)
     goes = may_hold(bitmap(gone, "__a"), named(1))
     # Texts that the bitmap clears stay where they are; only the others meet the list.
@@ -351,7 +412,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs.select("doc_id", "lang", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("log10_perplexity"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     scored = materialize(score(docs, model), "scored")
-    forget(model.table)
+    model.forget()
     j = judge(scored, limits(scored, labels))
     plain = F.when(F.col("__words") > 0, -F.col("__log10p") / F.col("__words"))
     return j.select("doc_id", "lang", F.col("__words").alias("n_words"), plain.alias("log10_perplexity"), F.col("__score").alias("score"), F.col("__most").alias("threshold"), F.col("__kept").alias("kept"))
