@@ -55,6 +55,29 @@ def test_links_count_for_both_ends(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
 
 
+def test_vectors_do_not_travel_with_visits(spark, monkeypatch):
+    """Visitors are dealt by shares, and only members and visitors that may be linked fetch their vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 32))
+    x = np.concatenate([x, x[:15] + 0.2 * rng.normal(size=(15, 32))])
+    hits, real = [], embedding_dup.materialize
+
+    def watch(df, name):
+        out = real(df, name)
+        if name == "hits":
+            hits.append(out.count())
+        return out
+
+    monkeypatch.setattr(embedding_dup, "materialize", watch)
+    monkeypatch.setattr(embedding_dup, "SHARE", 50_000)
+    got = {r.vec_id: r.n_links for r in embedding_dup.query(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.sum() >= 20 and [got[i] for i in range(len(x))] == linked.sum(1).tolist()
+    assert len(hits) >= 2 and sum(hits) < len(x) / 2
+
+
 def test_index_visits_near_cells_first():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 10))

@@ -14,9 +14,9 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, ok)
 
 
-def one_per_id(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): a row for each id that is not null, with double components; of rows that repeat an id the smallest vector."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter("vec_id is not null")
+def one_per_id(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", kind: str = "array<double>") -> DataFrame:
+    """(vec_id, v): a row for each id that is not null, with components of `kind`; of rows that repeat an id the smallest vector."""
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).filter("vec_id is not null")
     return v.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
