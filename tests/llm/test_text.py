@@ -184,3 +184,18 @@ def test_lines_link_in_chains_and_stars(docs_of):
         rows.append((i, "\n".join(text)))
     got = {r.doc_id: sorted(r.gone) for r in lines.removed_lines(docs_of(rows).select("doc_id", "text")).collect()}
     assert got == {i: sorted(k) for i, k in brute_lines(rows).items()}
+
+
+def test_materialize_collects_a_large_drivers_garbage(spark, monkeypatch):
+    """After each table is written a full collection of the driver's heap follows, if it takes half of its limit."""
+    from types import SimpleNamespace as Of
+
+    from veldt.llm import common
+
+    asked, runs, real = [], [], common._shrink
+    runtime = lambda used: Of(java=Of(lang=Of(Runtime=Of(getRuntime=lambda: Of(totalMemory=lambda: used, maxMemory=lambda: 100)), System=Of(gc=lambda: runs.append(used)))))
+    for used in (49, 50, 90):
+        real(Of(_jvm=runtime(used)))
+    assert runs == [50, 90]
+    monkeypatch.setattr(common, "_shrink", asked.append)
+    assert common.materialize(spark.range(3), "three").count() == 3 and len(asked) == 1

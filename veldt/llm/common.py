@@ -53,6 +53,14 @@ def tidy(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+def _shrink(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage once its heap takes half of its limit or more: a full collection also unloads
+    the classes of finished queries and gives memory back to the system, where young ones only let the heap grow."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() >= runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -62,6 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     _scratch[path] = spark
     with tidy(spark):
         df.write.parquet(path)
+    _shrink(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
