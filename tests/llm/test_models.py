@@ -6,12 +6,15 @@ import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import edge_rows
 from veldt.llm import lm, pieces, quality
+from veldt.llm.common import scratch_paths, words
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -174,6 +177,33 @@ def test_quality_trains_on_all_trusted_documents(spark, docs_of):
     assert {i for i in half if got[i] > got[9000] + 0.01} == {i for i in half if half[i]}
 
 
+def test_quality_model_takes_few_bytes(spark, docs_of):
+    """What training leaves on disk: some bytes for a distinct trigram, not rows of keys and values for each of its n-grams."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(500))) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    half = {r.doc_id for r in quality._trusted(labels).collect() if r.trains}
+    before = scratch_paths()
+    model = quality.train(docs_of(rows), labels)
+    left = sum(f.stat().st_size for p in scratch_paths() - before for f in Path(p.removeprefix("file:")).rglob("*.parquet"))
+    trigrams = {t for i, text in rows if i in half for t in zip(["", "", *text.split()], ["", *text.split()], text.split())}
+    assert len(trigrams) > 90_000 and left < 20 * len(trigrams)
+    model.forget()
+
+
+def test_quality_words_follow_the_word_rule():
+    """Cut and hashed for whole batches, words are those of the rule: equal hashes for equal words only, of any length and in any script."""
+    rng = random.Random(3)
+    parts = ["a", "B", "b", "é", "ß", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u3000", "😀", "\0", "xyzxyzxyz", " "]
+    texts = [None, "", " ", "a", "q" * 500 + " " + "q" * 501, "x" * 128 + " " + "x" * 129, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(2000)), None]
+    for given in (pa.array(texts), pa.array(texts).slice(3, 900), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        h, n, _ = quality._hashed(given)
+        ws = [words(t) for t in given.to_pylist()]
+        assert n.tolist() == [len(x) for x in ws]
+        pairs = set(zip((w for x in ws for w in x), h.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({x for _, x in pairs})
+
+
 def test_trigram_probabilities_sum_to_one(spark, docs_of):
     rows = [(i, " ".join(f"w{(i * k * k) % 37}" for k in range(60))) for i in range(80)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")

@@ -149,7 +149,7 @@ def _alone(owner: str) -> None:
         held.pop(name)()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: workers live on, and the next operator's task may run in this one."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -179,7 +179,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     sc = df.sparkSession.sparkContext
     if _shipped.get("context") != sc.applicationId:

@@ -1,16 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, by sharded count joins.
 
 Trusted are documents whose label says so. One half of them, by a hash of the id, trains the model: all of them, with
-their whole texts. Their trigrams are counted in Spark, sharded by trigram;
-continuation counts, contexts and probabilities of all three orders are aggregates and joins of these count tables. Only
-the counts of counts, which give the discounts, and sums come to the driver. This is done for SLICES shares of the middle
-words, one after the other, so that the shuffle files of one share at a time are on disk, and counts go when they are used up.
+their whole texts. The counts are sharded by n-gram and travel as packed blocks, a few bytes a trigram: distinct trigrams go to the bucket of
+their context (u, v), where each context's counts are complete, and on to the bucket of their pair (v, w), where each pair's are. Words' counts
+are summed by word and answered to the buckets that hold the word. Only the counts of counts, which give the discounts, and sums come to the driver.
 
-The model is one table (key, x) of n-gram hashes, laid out so that a document's log10 probability is a sum over its
-n-grams: log p(w | u v) = unknown + gain(w) + left(v) + gain(v w) + left(u v) + gain(u v w), where an n-gram that training
-lacks adds 0. A document's distinct n-grams are joined to the table by key, shuffled on both sides. Two things of fixed
-size spare most rows that shuffle: a bitmap of the table's keys, and the HOT n-grams that are most frequent in training,
-which are looked up in place (so a frequent n-gram is no hot key of the join).
+A document's log10 probability is a sum over its n-grams: log p(w | u v) = unknown + gain(w) + left(v) + gain(v w) + left(u v) + gain(u v w),
+where an n-gram that training lacks adds 0. A document's distinct n-grams are sent to the bucket of the n-gram, where the values are worked out
+from the counts; they are never stored. This is done for SLICES shares of the buckets, one after the other, so that the shuffle files of one share
+at a time are on disk, for which documents are read as often. Two things of fixed size spare most n-grams that way: a bitmap of the model's keys, and the HOT
+n-grams that are most frequent in training, which are looked up in place (so a frequent n-gram is no hot key). Where the
+bitmap fills up, beyond about 50 million n-grams, more n-grams travel; results stay the same.
 
 A document's score is its mean negative log10 probability for a word, drawn towards its language's mean as `prior`
 words of it would draw it, so that short texts aren't judged by a few words. The other half of the trusted documents,
@@ -24,20 +24,28 @@ count as not trusted; without trusted documents in either half nothing is reject
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import Hashes, bitmap, forget, map_arrow, materialize, may_hold, mix, quoted, tidy, unused, words
+from veldt.llm.common import bitmap, forget, give_back, map_arrow, materialize, may_hold, mix, quoted, tidy, unused
 
-#: Shares of the n-grams that are counted and joined one after the other.
+#: Shares of the buckets that are scored one after the other.
 SLICES = 4
 #: N-grams that are looked up in place, the most frequent of training; longs of the bitmap of all of them.
-HOT, BITS = 1 << 20, 1 << 20
+HOT, BITS = 1 << 20, 1 << 22
+#: Words of texts that are dealt to buckets at once.
+_AT_ONCE = 250_000
+#: What a packed row of a bucket holds.
+_GRAMS, _CONTEXTS, _ANSWER, _WORDS, _ASKED, _HEADER = range(6)
+_ROWS = "bucket int, kind int, at long, block binary"
+_SUMS = ", n array<long>, e array<long>"
 #: Languages up to which the bounds, a row for each, are broadcast.
 FEW = 10_000
 _START = np.uint64(0)  # the word before a text
@@ -55,6 +63,48 @@ def _key(kind: int, *hashes: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[memoryview]]:
+    """64-bit hashes of the words of all texts, each text's number of words, and its bytes. The words are those of `words`, cut and hashed for all texts
+    at once; hashes go by a word's bytes, eight at a time, and its length."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = texts.buffers()[2]
+    data = memoryview(b"" if data is None else data)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    low = data.tobytes().lower() + bytes(8)  # touches ASCII only
+    held = np.frombuffer(low, np.uint8, len(low) - 8)
+    inside = (held != 32) & (held - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(held))]
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    starts = np.nonzero(first)[0]
+    size = np.nonzero(last)[0] + 1 - starts
+    eight = np.ndarray(max(len(low) - 7, 0), np.dtype("<u8"), low, strides=(1,))
+    h = size.astype(np.uint64) * _STEP[0]
+    rest = np.arange(len(starts)) if len(starts) else np.zeros(0, np.int64)
+    done = 0
+    while len(rest):
+        left = np.minimum(size[rest] - done, 8).astype(np.uint64)
+        h[rest] = mix((h[rest] + (eight[starts[rest] + done] & (np.uint64(2**64 - 1) >> np.uint64(8) * (np.uint64(8) - left)))) * _STEP[1])
+        done += 8
+        rest = rest[size[rest] > done]
+        if done == 128 and len(rest):
+            for k in rest:  # very long words: one call each for what is left
+                h[k] = mix(h[k : k + 1] + np.uint64(xxhash.xxh3_64_intdigest(low[starts[k] + done : starts[k] + size[k]])))[0]
+            break
+    return h, np.diff(np.searchsorted(starts, offsets)), [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _padded(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, each text's after two starts; and the places of the words."""
+    at = np.arange(len(h)) + 2 * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    whole = np.full(len(h) + 2 * len(sizes), _START)
+    whole[at] = h
+    return whole, at
+
+
 def _discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from n[k - 1] n-grams of count k, held to (0, count) where these are too few."""
     usual = [0.0, 0.5, 0.75, 0.9]
@@ -65,20 +115,6 @@ def _discounts(n: list[int]) -> list[float]:
     return [0.0] + [min(max(d, 0.05), k - 0.05) for k, d in enumerate(made, 1)]
 
 
-def _held(d: list[float], count: str) -> Column:
-    """The discount of a count."""
-    c = F.col(count)
-    return F.when(c == 1, d[1]).when(c == 2, d[2]).otherwise(d[3])
-
-
-def _summary(counts: DataFrame, count: str) -> tuple[list[float], float, int, int]:
-    """Discounts, their sum over all n-grams, the sum of the counts, and the number of n-grams."""
-    of = [F.count(F.when(F.col(count) == k, 1)) for k in (1, 2, 3, 4)]
-    *n, total, kinds = counts.agg(*of, F.sum(count), F.count(F.lit(1))).first()
-    d = _discounts(n)
-    return d, d[1] * n[0] + d[2] * n[1] + d[3] * (kinds - n[0] - n[1]), total or 0, kinds
-
-
 def _trusted(labels: DataFrame) -> DataFrame:
     """(doc_id, trains) of trusted documents; trains: of the half that may train."""
     t = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = 1 and most = 1")
@@ -104,34 +140,188 @@ def _training(docs: DataFrame, labels: DataFrame, train_docs: int | None = None)
     return chosen
 
 
-def _share(word: str, k: int) -> Column:
-    return F.pmod(F.col(word), F.lit(SLICES)) == k
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of counts or places, doubles or 64-bit hashes (few bytes where sorted), exactly, in one compressed block."""
+    parts = []
+    for x in arrays:
+        code = b"x"
+        if x.dtype == np.uint64:
+            x, code = np.diff(x, prepend=np.uint64(0)), b"h"
+        elif x.dtype != np.float64:
+            x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        code = code if code == b"h" else x.dtype.char.encode()
+        # Byte by byte of all values: high ones are alike.
+        parts += [struct.pack("<cq", code, len(x)), np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()]
+    raw = b"".join(parts)
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def _counted(chosen: DataFrame, k: int | None = None) -> DataFrame:
-    """(u, v, w, c): the texts' trigrams of word hashes, each text after two starts; of all, or of those whose v is of share k."""
+def _unpack(block: bytes) -> list[np.ndarray]:
+    """What `_pack` was given; counts and places as int64."""
+    raw = pa.Codec("zstd").decompress(memoryview(block)[8:], struct.unpack_from("<q", block)[0], asbytes=True)
+    at, out = 0, []
+    while at < len(raw):
+        code, n = struct.unpack_from("<cq", raw, at)
+        kind = np.dtype(np.uint64 if code == b"h" else code.decode())
+        at += 9
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).reshape(-1).view(kind)
+        at += n * kind.itemsize
+        out.append(np.cumsum(x, dtype=np.uint64) if code == b"h" else x if kind == np.float64 else x.astype(np.int64))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in batches:
-            held, size = [], 0
-            for i, text in enumerate(b.column(0)):
-                ws = words(text.as_py())
-                if ws:
-                    h = np.concatenate([[_START, _START], hashes.of(ws)]).view(np.int64)
-                    at = np.arange(len(ws)) if k is None else np.nonzero(h[1:-1] % SLICES == k)[0]
-                    held.append([h[at + place] for place in range(3)])
-                    size += len(at)
-                if held and (size >= 50_000 or i == b.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["u", "v", "w"])
-                    held, size = [], 0
 
-    return map_arrow(chosen, run, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c"))
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
-def _trigrams(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> DataFrame:
-    """(u, v, w, c): the training documents' trigrams."""
-    return _counted(_training(docs, labels, train_docs))
+_BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("at", pa.int64()), ("block", pa.binary())])
+_COUNTED = _BLOCKS.append(pa.field("n", pa.list_(pa.int64()))).append(pa.field("e", pa.list_(pa.int64())))
+
+
+def _of_kinds(t: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+    """(at, block) of a bucket's rows, by kind; blocks aren't copied."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for kind, at, block in zip(t.column("kind").to_pylist(), t.column("at").to_pylist(), t.column("block"), strict=True):
+        out.setdefault(kind, []).append((at, block.as_buffer()))
+    return out
+
+
+def _by(df: DataFrame, column: str, run, schema: str) -> DataFrame:
+    """df's groups through run, after which a worker gives the memory of large ones back."""
+
+    def spare(t: pa.Table) -> pa.Table:
+        large = t.nbytes > 1 << 20
+        try:
+            return run(t)
+        finally:
+            del t
+            if large:
+                give_back()
+
+    return df.groupBy(column).applyInArrow(spare, schema)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a key of a pair, or of a word's hash."""
+    return ((mix(keys) >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _paired(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of hashes x, y, z: the distinct hashes; places there of distinct pairs (x, y); and for each distinct triple, by pair, its pair and the
+    place of its z, a row that holds it; and the triple of each row."""
+    ids, at = np.unique(np.concatenate([x, y, z]), return_inverse=True)
+    ix, iy, iz = at.reshape(3, -1)
+    pairs, of = np.unique(ix * len(ids) + iy, return_inverse=True)
+    triples, row, triple = np.unique(of * len(ids) + iz, return_index=True, return_inverse=True)
+    return ids, pairs // len(ids), pairs % len(ids), triples // len(ids), triples % len(ids), row, triple
+
+
+def _split(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its rows in order) for each bucket that occurs."""
+    order = np.argsort(where, kind="stable")
+    starts = np.nonzero(np.diff(where[order], prepend=-1))[0]
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        yield int(where[order[a]]), order[a:b]
+
+
+def _local(ids: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """The ids that places use, and the places among these."""
+    used, at = np.unique(np.concatenate(places), return_inverse=True)
+    return [ids[used], *at.reshape(len(places), -1)]
+
+
+def _by_count(of: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n: how many of its counts are 1, 2, and 3 or more."""
+    return [np.bincount(of[ok], minlength=n) for ok in (count == 1, count == 2, count > 2)]
+
+
+def _first_four(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+
+
+def _near(chosen: DataFrame, buckets: int, share: int) -> DataFrame:
+    """Written down: the distinct trigrams (u, v, w) of the contexts (u, v) in one share of the buckets, with the counts of both, for the buckets of (v, w)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            u, v, w = map(np.concatenate, zip(*held, strict=True))
+            ids, px, py, pair, iw, _, triple = _paired(u, v, w)
+            c = np.bincount(triple, minlength=len(pair))
+            where = _bucket(_key(PAIR, ids[px], ids[py]), buckets)[pair]
+            rows = [(k, _GRAMS, 0, _pack(*_local(ids, px[pair[at]], py[pair[at]], iw[at]), c[at])) for k, at in _split(where)]
+            yield from _rows(rows, _BLOCKS).to_batches()
+
+        held, size = [], 0
+        for b in batches:
+            whole, places = _padded(*_hashed(b.column(0))[:2])
+            for a in range(0, len(places), _AT_ONCE):  # some of the words of a batch of long texts
+                at = places[a : a + _AT_ONCE]
+                at = at[_bucket(_key(PAIR, whole[at - 2], whole[at - 1]), buckets) % SLICES == share]
+                held.append((whole[at - 2], whole[at - 1], whole[at]))
+                size += len(at)
+                if size >= _AT_ONCE:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if size:
+            yield from dealt(held)
+
+    def by_context(t: pa.Table) -> pa.Table:
+        """All trigrams (u, v, w) of the bucket's contexts (u, v), to the buckets of (v, w); and the contexts, to the same bucket as pairs."""
+        parts = []
+        for _, block in _of_kinds(t)[_GRAMS]:
+            ids, *places, c = _unpack(block)
+            parts.append([*(ids[p] for p in places), c])
+        u, v, w, c = map(np.concatenate, zip(*parts, strict=True))
+        ids, px, py, pair, iw, _, triple = _paired(u, v, w)
+        c = np.bincount(triple, c, len(pair)).astype(np.int64)
+        n = _by_count(pair, c, len(px))
+        s = np.bincount(pair, c, len(px)).astype(np.int64)
+        own = int(t.column("bucket")[0].as_py())
+        keys = _key(PAIR, ids[px], ids[py])
+        order = np.argsort(keys)
+        rows = [(own, _CONTEXTS, 0, _pack(keys[order], *(x[order] for x in (*n, s))))]
+        where = _bucket(_key(PAIR, ids[py[pair]], ids[iw]), buckets)
+        rows += [(k, _GRAMS, 0, _pack(*_local(ids, px[pair[at]], py[pair[at]], iw[at]), c[at], *(x[pair[at]] for x in n))) for k, at in _split(where)]
+        return _rows(rows, _BLOCKS)
+
+    return materialize(_by(map_arrow(chosen, count, _ROWS), "bucket", by_context, _ROWS), "near")
+
+
+def _grams(chosen: DataFrame, buckets: int) -> list[DataFrame]:
+    """Written down for each share of the buckets of pairs (v, w), a row for each bucket: distinct trigrams with all counts but the words', and the counts of counts."""
+
+    def by_pair(t: pa.Table) -> pa.Table:
+        held, key = _of_kinds(t), int(t.column("bucket")[0].as_py())
+        parts = [[np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)] * 4]
+        for _, block in held.get(_GRAMS, ()):
+            ids, *places, c, n1, n2, n3 = _unpack(block)
+            parts.append([*(ids[p] for p in places), c, n1, n2, n3])
+        u, v, w, *counts = map(np.concatenate, zip(*parts, strict=True))
+        ids, px, py, pair, iu, row, _ = _paired(v, w, u)
+        counts = [x[row] for x in counts]
+        # The pairs as contexts: none at texts' ends, and one context that is no pair, that of texts' starts.
+        contexts, first = [np.zeros(len(px), np.int64) for _ in range(4)], [0] * 4
+        pairs = _key(PAIR, ids[px], ids[py])
+        order = np.argsort(pairs)
+        for _, block in held.get(_CONTEXTS, ()):
+            own, *n = _unpack(block)
+            start = own == _key(PAIR, *[np.array([_START])] * 2)
+            first = [a + int(b[start].sum()) for a, b in zip(first, n, strict=True)]
+            at = order[np.searchsorted(pairs[order], own[~start])] if len(own) > start.sum() else np.zeros(0, np.int64)
+            for into, b in zip(contexts, n, strict=True):
+                into[at] = b[~start]
+        size = np.bincount(pair, minlength=len(px))
+        before = _before(ids, px, pair, size, counts[0])
+        n = _first_four(counts[0]) + _first_four(before)
+        return _rows([(key, _GRAMS, 0, _pack(ids, px, py, size, iu, *counts, *contexts), n, first)], _COUNTED)
+
+    near = [_near(chosen, buckets, k) for k in range(SLICES)]
+    forget(chosen)
+    every = _all(near)
+    grams = [materialize(_by(every.filter(F.col("bucket") % SLICES == k), "bucket", by_pair, _ROWS + _SUMS), "grams") for k in range(SLICES)]
+    forget(*near)
+    return grams
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -139,114 +329,167 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p.scratch_path for p in parts])
 
 
-class Model:
-    """The table (key, x, rank) of n-grams, the log10 probability of an unknown word, and what each text with words adds for its start."""
+def _before(ids: np.ndarray, px: np.ndarray, pair: np.ndarray, size: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Pairs' continuation counts, but for those at a text's start, which nothing can precede, their plain counts."""
+    return np.where(ids[px] == _START, np.bincount(pair, c, len(px)).astype(np.int64), size)
 
-    def __init__(self, parts: list[DataFrame], unknown: float, start: float):
-        self.parts, self.table, self.unknown, self.start = parts, _all(parts), unknown, start
 
-    def forget(self) -> None:
-        forget(*self.parts)
+def _trigrams(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> DataFrame:
+    """(u, v, w, c): the training documents' trigrams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column(0).to_pylist():
+                ids, px, py, size, iu, c, *_ = _unpack(block)
+                pair = np.repeat(np.arange(len(px)), size)
+                u, v, w = (ids[p].view(np.int64) for p in (iu, px[pair], py[pair]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, w, c)], names=["u", "v", "w", "c"])
 
-def _keyed(grams: DataFrame) -> DataFrame:
-    """(kind, u, v, w, x, c) -> (key, x, rank). Words stand at the right: w for one, v and w for two.
+    return map_arrow(_all(_grams(_training(docs, labels, train_docs), _buckets(docs))).select("block"), run, "u long, v long, w long, c long")
 
-    rank: what is met more often has a higher one. It goes by training's count, then shorter n-grams come first; at the end of a text
-    there is only one n-gram of a kind, so those that stand for it come late.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(df: DataFrame) -> int:
+    """Buckets of the model: as many as a shuffle has partitions, which are of a size to suit the executors."""
+    return max(16, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _vocabulary(grams: DataFrame, buckets: int) -> DataFrame:
+    """Written down: for each bucket the counts of the words that it holds, an answer from each bucket of words; and the words of each bucket of words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, u, v, w = (np.asarray(b.column(k)) for k in range(4))
-            key = np.zeros(b.num_rows, np.uint64)
-            for k in np.unique(kind):
-                at = kind == k
-                places = {WORD: (w,), LAST_WORD: (w,), PAIR: (v, w), LAST_PAIR: (v, w), TRIPLE: (u, v, w)}[int(k)]
-                key[at] = _key(int(k), *(p[at].view(np.uint64) for p in places))
-            c = np.asarray(b.column(5))
-            rank = np.where(kind > TRIPLE, c // 16, 4 * c + TRIPLE - kind)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(4), pa.array(rank)], names=["key", "x", "rank"])
+            for key, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, px, py, size, _, c, *_ = _unpack(block)
+                pair = np.repeat(np.arange(len(px)), size)
+                before = _before(ids, px, pair, size, c)
+                n = len(ids)
+                counts = [np.bincount(py, minlength=n), np.bincount(py[pair], c, n).astype(np.int64), np.bincount(px, before, n).astype(np.int64), *_by_count(px, before, n)]
+                rows = [(k, _WORDS, key, _pack(ids[at], *(x[at] for x in counts))) for k, at in _split(_bucket(ids, buckets))]
+                yield from _rows(rows, _BLOCKS).to_batches()
+
+    def answer(t: pa.Table) -> pa.Table:
+        """Of words: number of pairs they end, count, sum of the pairs they begin, and how many of these count 1, 2, 3 or more."""
+        key, asked = int(t.column("bucket")[0].as_py()), [(k, _unpack(block)) for k, block in _of_kinds(t)[_WORDS]]
+        ids, at = np.unique(np.concatenate([x[0] for _, x in asked]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([x[place] for _, x in asked]), len(ids)).astype(np.int64) for place in range(1, 7)]
+        ends, _, s, *n = sums
+        begins = np.nonzero(ids == _START)[0]
+        known = [*_first_four(ends), int(ends.sum()), int((ends > 0).sum())]
+        rows = [(key, _WORDS, key, _pack(ids, *sums), known, [int(x[begins].sum()) for x in (*n, s)])]
+        for k, (own, *_) in asked:
+            place = np.searchsorted(ids, own)
+            rows.append((k, _ANSWER, key, _pack(*(x[place] for x in (ends, s, *n))), [0] * 6, [0] * 4))
+        return _rows(rows, _COUNTED)
+
+    return materialize(_by(map_arrow(grams.select("bucket", "block"), ask, _ROWS), "bucket", answer, _ROWS + _SUMS), "words")
+
+
+class Figures:
+    """What all probabilities need: discounts of the three orders by count, the sum of the words' continuation counts, the share of an unknown word."""
+
+    def __init__(self, d1: list[float], d2: list[float], d3: list[float], total: int, rest: float):
+        self.d1, self.d2, self.d3, self.total, self.rest = np.array(d1), np.array(d2), np.array(d3), float(total), rest
+        self.unknown = float(np.log10(rest))
+
+    def word(self, ends: np.ndarray) -> np.ndarray:
+        return (ends - self.d1[np.minimum(ends, 3)]) / self.total + self.rest
+
 
-    return map_arrow(grams.select(F.col("kind").cast("long").alias("kind"), "u", "v", "w", "x", "c"), run, "key long, x double, rank long")
+def _left(d: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts keep for what they have not met: as a sum, and as a share (1 where there is no such context)."""
+    h = d[1] * n1 + d[2] * n2 + d[3] * n3
+    return h, np.where(s > 0, h / np.maximum(s, 1), 1.0)
+
+
+class Model:
+    """The counts in `buckets` buckets, the figures, the log10 probability of an unknown word, and what each text with words adds for its start."""
+
+    def __init__(self, grams: list[DataFrame], words_: DataFrame, buckets: int, figures: Figures, start: float):
+        self.grams, self.words, self.buckets, self.figures, self.unknown, self.start = grams, words_, buckets, figures, figures.unknown, start
+
+    def rows(self, k: int | None = None) -> DataFrame:
+        """The packed rows, of all buckets or of those of share k."""
+        names = ["bucket", "kind", "at", "block"]
+        grams = _all(self.grams) if k is None else self.grams[k]
+        words_ = self.words if k is None else self.words.filter(F.col("bucket") % SLICES == k)
+        return grams.select(*names).unionByName(words_.select(*names))
+
+    def forget(self) -> None:
+        forget(*self.grams, self.words)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> Model | None:
     """The model of the documents that train; None if they have no words."""
-    start = F.lit(int(_START)).cast("long")
-    chosen = _training(docs, labels, train_docs)
-    threes, twos = [], []
-    for k in range(SLICES):
-        three = materialize(_counted(chosen, k), "trigrams")
-        # Bigrams: continuation counts, but for those at a text's start, which nothing can precede, their plain counts.
-        two = three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("before"), F.sum("c").alias("c"))
-        two = materialize(two.select("v", "w", F.when(F.col("v") == start, F.col("c")).otherwise(F.col("before")).alias("a"), "c"), "bigrams")
-        threes.append(three)
-        twos.append(two)
-    forget(chosen)
-    one = materialize(_all(twos).groupBy("w").agg(F.count(F.lit(1)).alias("a"), F.sum("c").alias("c")), "words")
-    words_ = one
-    (d1, held1, total, kinds), (d2, *_), (d3, *_) = _summary(one, "a"), _summary(_all(twos), "a"), _summary(_all(threes), "c")
+    chosen, buckets = _training(docs, labels, train_docs), _buckets(docs)
+    parts = _grams(chosen, buckets)
+    grams = _all(parts)
+    words_ = _vocabulary(grams, buckets)
+
+    def sums(df: DataFrame, name: str, n: int) -> list[int]:
+        return [x or 0 for x in df.agg(*[F.sum(F.col(name)[k]) for k in range(n)]).first()]
+
+    n32, (*n1, total, kinds) = sums(grams, "n", 8), sums(words_, "n", 6)
     if not kinds:
-        forget(one, *twos, *threes)
+        forget(*parts, words_)
         return None
-    rest = held1 / total / (kinds + 2)  # the words, the start, and all that training lacks
-    unknown = float(np.log10(rest))
-    one = one.withColumn("p", (F.col("a") - _held(d1, "a")) / F.lit(float(total)) + F.lit(rest))
-
-    def rows(df: DataFrame, kind: int, x: Column, u: str | None = None, v: str | None = None, w: str = "w", c: str = "c") -> DataFrame:
-        place = lambda n: F.col(n) if n else start
-        return df.select(F.lit(kind).alias("kind"), place(u).alias("u"), place(v).alias("v"), F.col(w).alias("w"), x.alias("x"), F.col(c).cast("long").alias("c"))
-
-    # All that a trigram needs is of the share of its middle word, but for the words' own probabilities.
-    heads, contexts, pairs, parts = [], [], [], []
-    for two, three in zip(twos, threes, strict=True):
-        head = two.groupBy("v").agg(F.sum("a").alias("s"), F.sum(_held(d2, "a")).alias("h"), F.sum("c").alias("in_c"))
-        head = materialize(head.withColumn("left", F.log10(F.col("h") / F.col("s"))), "heads")
-        context = materialize(three.groupBy("u", "v").agg(F.sum("c").alias("s"), F.sum(_held(d3, "c")).alias("h")), "contexts")
-        pair = two.join(head.select("v", "s", "h", "left"), "v").join(one.select("w", F.col("p").alias("p1")), "w")
-        pair = pair.withColumn("p", (F.col("a") - _held(d2, "a")) / F.col("s") + F.col("h") / F.col("s") * F.col("p1"))
-        pair = materialize(pair.select("v", "w", "c", "p", (F.log10("p") - F.col("left") - F.log10("p1")).alias("gain")), "pairs")
-        triple = three.join(context, ["u", "v"]).join(pair.select("v", "w", F.col("p").alias("p2")), ["v", "w"])
-        p3 = (F.col("c") - _held(d3, "c")) / F.col("s") + F.col("h") / F.col("s") * F.col("p2")
-        parts.append(materialize(_keyed(rows(triple, TRIPLE, F.log10(p3) - F.log10(F.col("h") / F.col("s")) - F.log10("p2"), u="u", v="v")), "model"))
-        forget(two, three)
-        heads.append(head)
-        contexts.append(context)
-        pairs.append(pair)
-    left = F.log10(F.col("h") / F.col("s"))
-    as_context = _all(contexts).select(F.col("u").alias("cu"), F.col("v").alias("cv"), left.alias("cl"))
-    for k, pair in enumerate(pairs):
-        both = pair.join(as_context.filter(_share("cu", k)), (F.col("v") == F.col("cu")) & (F.col("w") == F.col("cv")), "left")
-        table = rows(both, PAIR, F.col("gain") + F.coalesce("cl", F.lit(0.0)), v="v")
-        table = table.unionByName(rows(contexts[k].filter(F.col("v") != start), LAST_PAIR, left, v="u", w="v", c="s"))
-        parts.append(materialize(_keyed(table), "model"))
-        forget(pair)
-    head = _all(heads)
-    single = one.join(head.select(F.col("v").alias("w"), "left"), "w", "left")
-    table = rows(single, WORD, F.log10("p") - F.lit(unknown) + F.coalesce("left", F.lit(0.0)))
-    table = table.unionByName(rows(head.filter(F.col("v") != start), LAST_WORD, F.col("left"), w="v", c="in_c"))
-    parts.append(materialize(_keyed(table), "model"))
-    first = head.filter(F.col("v") == start).agg(F.sum("left")).first()[0] + _all(contexts).filter(F.col("v") == start).agg(F.sum(left)).first()[0]
-    forget(words_, *heads, *contexts)
-    return Model(parts, unknown, float(first))
-
-
-def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bitmap's long of each key, and its three bits there."""
+    d1, d2, d3 = _discounts(n1), _discounts(n32[4:]), _discounts(n32[:4])
+    held = d1[1] * n1[0] + d1[2] * n1[1] + d1[3] * (kinds - n1[0] - n1[1])
+    figures = Figures(d1, d2, d3, total, held / total / (kinds + 2))  # the words, the start, and all that training lacks
+    first = 0.0
+    for d, table in ((figures.d2, words_), (figures.d3, grams)):
+        first += float(np.log10(_left(d, *map(np.array, sums(table, "e", 4)))[1]))
+    return Model(parts, words_, buckets, figures, first)
+
+
+def _worked_out(held: dict[int, list[tuple[int, bytes]]], buckets: int, f: Figures) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values, ranks and kinds of a bucket's n-grams, from its rows. What is met more often has a higher rank: it goes by training's count, then shorter
+    n-grams come first; at the end of a text there is only one n-gram of a kind, so those that stand for it come late."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), 0)]
+    for _, block in held.get(_WORDS, ()):
+        ids, ends, c, s, *n = _unpack(block)
+        left = np.log10(_left(f.d2, *n, s)[1])
+        ok = ends > 0
+        out.append((_key(WORD, ids[ok]), (np.log10(f.word(ends)) - f.unknown + left)[ok], 4 * c[ok] + 2, WORD))
+        ok = (s > 0) & (ids != _START)
+        out.append((_key(LAST_WORD, ids[ok]), left[ok], s[ok] // 16, LAST_WORD))
+    for _, block in held.get(_GRAMS, ()):
+        ids, px, py, size, iu, c, u1, u2, u3, *contexts = _unpack(block)
+        figures = np.zeros((5, len(ids)), np.int64)
+        of = dict(_split(_bucket(ids, buckets)))
+        for k, answer in held.get(_ANSWER, ()):
+            for row, x in zip(figures, _unpack(answer), strict=True):
+                row[of[k]] = x
+        ends, s, *n = figures
+        p1, (_, left) = f.word(ends)[py], _left(f.d2, *n, s)
+        left, pair = left[px], np.repeat(np.arange(len(px)), size)
+        before = _before(ids, px, pair, size, c)
+        p2 = (before - f.d2[np.minimum(before, 3)]) / s[px] + left * p1
+        after = np.log10(_left(f.d3, *contexts)[1])
+        v, w = ids[px], ids[py]
+        out.append((_key(PAIR, v, w), np.log10(p2) - np.log10(left * p1) + after, 4 * np.bincount(pair, c, len(px)).astype(np.int64) + 1, PAIR))
+        ok = contexts[3] > 0
+        out.append((_key(LAST_PAIR, v[ok], w[ok]), after[ok], contexts[3][ok] // 16, LAST_PAIR))
+        more = (c - f.d3[np.minimum(c, 3)]) / (_left(f.d3, u1, u2, u3, c)[0] * p2[pair])
+        out.append((_key(TRIPLE, ids[iu], v[pair], w[pair]), np.log10(1 + more), 4 * c, TRIPLE))
+    key, x, rank = (np.concatenate([o[place] for o in out]) for place in range(3))
+    return key, x, rank, np.repeat([o[3] for o in out], [len(o[0]) for o in out])
+
+
+def _places(key: np.ndarray, bucket: np.ndarray | int, longs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap's long of each key, of those of its bucket, and its three bits there."""
     bit = lambda shift: np.uint64(1) << (key >> np.uint64(shift) & np.uint64(63))
-    return (key >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), bit(0) | bit(6) | bit(12)
+    return bucket * longs + (key >> np.uint64(20) & np.uint64((1 << 24) - 1)).astype(np.int64) % longs, bit(0) | bit(6) | bit(12)
 
 
 class Filed:
-    """For a task: the bitmap of all keys and the hot ones with their values."""
+    """For a task: the bitmap of all keys, `longs` a bucket, and the hot ones with their values."""
 
-    def __init__(self, bits: np.ndarray, keys: np.ndarray, x: np.ndarray):
+    def __init__(self, bits: np.ndarray, longs: int, keys: np.ndarray, x: np.ndarray):
         order = np.argsort(keys)
-        self.bits, self.keys, self.x = bits, keys[order], x[order]
+        self.bits, self.longs, self.keys, self.x = bits, longs, keys[order], x[order]
 
-    def known(self, key: np.ndarray) -> np.ndarray:
-        at, mask = _places(key)
+    def known(self, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        at, mask = _places(key, bucket, self.longs)
         return self.bits[at] & mask == mask
 
     def find(self, key: np.ndarray) -> np.ndarray:
@@ -259,96 +502,160 @@ class Filed:
 
 def _filed(model: Model) -> Broadcast:
     """The bitmap (BITS longs) and the hot n-grams (HOT at most), broadcast."""
-    # The same bits as _places, on signed longs.
-    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("key", shift).bitwiseAND(63).cast("int"))
-    word = F.shiftrightunsigned("key", 20).bitwiseAND(BITS - 1).cast("int")
-    table = model.table
-    with tidy(table.sparkSession):
-        found = table.groupBy(word.alias("at")).agg(F.bit_or(bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))).alias("bits")).toArrow()  # BITS rows at most
-        bits = np.zeros(BITS, np.uint64)
-        bits[np.asarray(found.column("at"))] = np.asarray(found.column("bits")).view(np.uint64)
-        del found
-        # The ranks that fit as a whole, and of the next one a share by hash: no sort, and about HOT rows at most.
-        room, least, share = HOT, 0, 0.0
-        for r in table.groupBy(F.least("rank", F.lit(1000)).alias("rank")).count().orderBy(F.desc("rank")).collect():  # 1000 rows at most
-            least, share = r["rank"], min(1.0, room / r["count"])
-            room -= r["count"]
-            if room <= 0:
-                break
-        hot = table.filter((F.least("rank", F.lit(1000)) > least) | ((F.least("rank", F.lit(1000)) == least) & (F.shiftrightunsigned("key", 32) < int(share * 2**32)))).select("key", "x").toArrow()
-    filed = Filed(bits, np.asarray(hot.column("key")).view(np.uint64), np.asarray(hot.column("x")))
-    return model.table.sparkSession.sparkContext.broadcast(filed)
-
-
-def _sums(docs: list[np.ndarray], filed: Filed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents given as word hashes: each one's sum over its hot n-grams; and for the others that may be in the table document, key and times."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    pad = np.array([_START, _START])
-    whole = np.concatenate([x for d in docs for x in (pad, d)] + [np.zeros(0, np.uint64)])
-    ends = np.cumsum(sizes + 2)
-    at = np.ones(len(whole), bool)
-    at[ends - sizes - 2] = at[ends - sizes - 1] = False
-    at = np.nonzero(at)[0]
-    of = np.repeat(np.arange(len(docs)), sizes)
-    u, v, w = whole[at - 2], whole[at - 1], whole[at]
-    last = np.cumsum(sizes)[sizes > 0] - 1
-    keys, whose, times = [], [], []
-    for kind, grams in ((WORD, (w,)), (PAIR, (v, w)), (TRIPLE, (u, v, w)), (LAST_WORD, (w[last],)), (LAST_PAIR, (v[last], w[last]))):
-        key = _key(kind, *grams)
-        ok = np.nonzero(filed.known(key))[0]
-        keys.append(key[ok])
-        whose.append((of if kind <= TRIPLE else of[last])[ok])
-        times.append(np.full(len(ok), 1 if kind <= TRIPLE else -1))
-    key, who, n = np.concatenate(keys), np.concatenate(whose), np.concatenate(times)
+    buckets, figures, longs, room = model.buckets, model.figures, BITS // model.buckets, max(1, HOT // model.buckets)
+    schema = pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("keys", pa.binary()), ("x", pa.binary())])
+
+    def run(t: pa.Table) -> pa.Table:
+        key, x, rank, kind = _worked_out(_of_kinds(t), buckets, figures)
+        at, mask = _places(key[kind <= TRIPLE], 0, longs)
+        bits = np.zeros(longs, np.uint64)
+        np.bitwise_or.at(bits, at, mask)
+        # Buckets are dealt by hash, so the most frequent of each are about the most frequent of all.
+        hot = np.argpartition(-rank, room)[:room] if len(rank) > room else np.arange(len(rank))
+        return _rows([(t.column("bucket")[0].as_py(), bits.tobytes(), key[hot].tobytes(), x[hot].tobytes())], schema)
+
+    bits, keys, xs = np.zeros(buckets * longs, np.uint64), [np.zeros(0, np.uint64)], [np.zeros(0)]
+    with tidy(model.words.sparkSession):
+        found = _by(model.rows(), "bucket", run, "bucket int, bits binary, keys binary, x binary").toArrow()  # a row for each bucket
+    for k, own, key, x in zip(*(found.column(place).to_pylist() for place in range(4)), strict=True):
+        bits[k * longs : (k + 1) * longs] = np.frombuffer(own, np.uint64)
+        keys.append(np.frombuffer(key, np.uint64))
+        xs.append(np.frombuffer(x))
+    return model.words.sparkSession.sparkContext.broadcast(Filed(bits, longs, np.concatenate(keys), np.concatenate(xs)))
+
+
+def _asked(h: np.ndarray, sizes: np.ndarray, filed: Filed, buckets: int, share: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """Of documents given as word hashes, for the n-grams of one share of the buckets: each one's sum over those that are hot; and packed for each bucket
+    the distinct others that may be in the model, with the number of documents that hold it, these, and the times, 2 * n and for -n 2 * n - 1."""
+    whole, at = _padded(h, sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    u, v, w = whole[at - 2], whole[at - 1], h
+    last = np.zeros(len(at), bool)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    found = []
+
+    def look(base: np.ndarray, bucket: np.ndarray, who: np.ndarray, key: np.ndarray, times: int) -> np.ndarray:
+        """File the n-grams under `key` whose key `base` is known; which these are."""
+        ok = np.nonzero(filed.known(base, bucket))[0]
+        found.append((key[ok], bucket[ok], who[ok], np.full(len(ok), times)))
+        return ok
+
+    def at_end(kind: int, ok: np.ndarray, bucket: np.ndarray, who: np.ndarray, *grams: np.ndarray) -> None:
+        key = _key(kind, *(g[ok] for g in grams))
+        found.append((key, bucket[ok], who[ok], np.full(len(ok), -1)))
+
+    bucket = _bucket(w, buckets)
+    mine = np.nonzero(bucket % SLICES == share)[0]
+    x, b, who, end = w[mine], bucket[mine], of[mine], last[mine]
+    ok = look(key := _key(WORD, x), b, who, key, 1)
+    at_end(LAST_WORD, ok[end[ok]], b, who, x)
+    pairs = _key(PAIR, v, w)
+    bucket = _bucket(pairs, buckets)
+    mine = np.nonzero(bucket % SLICES == share)[0]
+    key, b, who, end = pairs[mine], bucket[mine], of[mine], last[mine]
+    ok = look(key, b, who, key, 1)
+    at_end(LAST_PAIR, ok[end[ok]], b, who, v[mine], w[mine])
+    mine, b, who = mine[ok], b[ok], who[ok]  # no trigram without its pair
+    look(key := _key(TRIPLE, u[mine], v[mine], w[mine]), b, who, key, 1)
+
+    key, b, who, n = (np.concatenate(x) for x in zip(*found, strict=True))
     place = filed.find(key)
     hot = place >= 0
-    own = np.bincount(who[hot], filed.x[place[hot]] * n[hot], len(docs))
-    key, who, n = key[~hot], who[~hot], n[~hot]
-    order = np.lexsort((key, who))
-    key, who, n = key[order], who[order], n[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
-    starts = np.nonzero(new)[0]
-    return own, who[starts], key[starts], np.add.reduceat(n, starts) if len(starts) else n
-
-
-def score(docs: DataFrame, model: Model, passed: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns `passed` (longs or strings, none changed) for each row of docs, with `__words` and `__log10p`, the sum of the words' log10 probabilities."""
-    shared, unknown, start = _filed(model), model.unknown, model.start
+    own = np.bincount(who[hot], filed.x[place[hot]] * n[hot], len(sizes))
+    key, b, who, n = key[~hot], b[~hot], who[~hot], n[~hot]
+    rows = []
+    order = np.lexsort((who, key, b))
+    key, b, who, n = key[order], b[order], who[order], n[order]
+    if len(key):
+        other = np.diff(key, prepend=key[0]) != 0
+        other[0] = True
+        starts = np.nonzero(other | (np.diff(who, prepend=-1) != 0))[0]
+        n, key, b, who, other = np.add.reduceat(n, starts), key[starts], b[starts], who[starts], other[starts]
+        for k, at in _split(b):
+            first = np.nonzero(other[at])[0]
+            rows.append((k, _pack(key[at][first], np.diff(first, append=len(at)), who[at], np.where(n[at] < 0, -2 * n[at] - 1, 2 * n[at]))))
+    return own, rows
+
+
+def _share_of(docs: DataFrame, model: Model, shared: Broadcast, share: int, passed: tuple[str, ...]) -> DataFrame:
+    """Written down, for each row of docs: the columns `passed`, `__ta` and `__tb` that name its text, `__words`, and `__part`, the sum over the n-grams
+    of one share of the buckets."""
+    buckets, figures, start = model.buckets, model.figures, model.start
     kinds = dict(docs.select(*passed, "text").dtypes)
-    schema = "__row long, __key long, __times long, __words long, __own double, " + ", ".join(f"{p} {kinds[p]}" for p in passed)
+    schema = ", ".join([*(f"{p} {kinds[p]}" for p in passed), "__ta long, __tb long, __words long, __part double"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, filed, rows, part = Hashes(), shared.value, 0, TaskContext.get().partitionId() << 40
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed, blocks, part = shared.value, 0, TaskContext.get().partitionId() << 32
         for whole in batches:
-            texts, at = whole.column(len(passed)), 0
+            h, sizes, texts = _hashed(whole.column(len(passed)))
+            ends, at = np.cumsum(sizes), 0
             while at < whole.num_rows:
-                upto, total, hs = at, 0, []
-                while upto < whole.num_rows and (upto == at or total < 50_000):
-                    hs.append(hashes.of(words(texts[upto].as_py())))
-                    total += len(hs[-1])
-                    upto += 1
-                own, who, key, times = _sums(hs, filed)
-                n = np.array([len(h) for h in hs], np.int64)
-                row = part + rows + np.arange(len(hs))
-                # A row for the document, times 0 and dealt by its number, and one for each n-gram that is left.
-                none = len(who)
-                empty = lambda kind: pa.nulls(none, kind)
-                columns = [
-                    pa.array(np.concatenate([row, row[who]])), pa.array(np.concatenate([mix(row.astype(np.uint64)), key]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(hs), np.int64), times])),
-                    pa.concat_arrays([pa.array(n), empty(pa.int64())]), pa.concat_arrays([pa.array(own + unknown * n + np.where(n > 0, start, 0.0)), empty(pa.float64())]),
-                ]
-                for p in range(len(passed)):
-                    c = whole.column(p).slice(at, len(hs))
-                    columns.append(pa.concat_arrays([c, empty(c.type)]))
-                yield pa.RecordBatch.from_arrays(columns, names=["__row", "__key", "__times", "__words", "__own", *passed])
-                rows += len(hs)
+                before = int(ends[at] - sizes[at])
+                upto = max(at + 1, int(np.searchsorted(ends, before + _AT_ONCE, "right")))
+                n = sizes[at:upto]
+                own, asked = _asked(h[before : int(ends[upto - 1])], n, filed, buckets, share)
+                # Texts without words need no name that others share.
+                names = [xxhash.xxh3_128_intdigest(texts[k]) if sizes[k] else (part + blocks << 64) + k for k in range(at, upto)]
+                if not share:
+                    own = own + figures.unknown * n + np.where(n > 0, start, 0.0)
+                ta, tb = (np.array([name >> shift & (1 << 64) - 1 for name in names], np.uint64).view(np.int64) for shift in (64, 0))
+                columns = [whole.column(p).slice(at, upto - at) for p in range(len(passed))] + [pa.array(x) for x in (ta, tb, n, own)]
+                head, sink = pa.RecordBatch.from_arrays(columns, names=[*passed, "__ta", "__tb", "__words", "__part"]), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                    file.write_batch(head)
+                some = share + SLICES * (hash(part + blocks) % ((buckets - share + SLICES - 1) // SLICES))
+                rows = [(some, _HEADER, part + blocks, sink.getvalue().to_pybytes())] + [(k, _ASKED, part + blocks, block) for k, block in asked]
+                yield from _rows(rows, _BLOCKS).to_batches()
+                blocks += 1
                 at = upto
 
-    flat = map_arrow(docs.select(*passed, "text"), run, schema)
-    met = flat.join(model.table.select(F.col("key").alias("__key"), "x"), "__key", "left")
-    gained = F.sum(F.col("__times") * F.coalesce("x", F.lit(0.0)))
-    return met.groupBy("__row").agg(*[F.max(p).alias(p) for p in passed], F.max("__words").alias("__words"), (F.max("__own") + gained).alias("__log10p")).drop("__row")
+    def answer(t: pa.Table) -> pa.Table:
+        """To each block of documents their sums over the bucket's n-grams; its header goes through."""
+        held = _of_kinds(t)
+        rows = [(0, _HEADER, at, block.to_pybytes()) for at, block in held.get(_HEADER, ())]
+        if held.get(_ASKED):
+            key, x, *_ = _worked_out(held, buckets, figures)
+            order = np.argsort(key)
+            key, x = np.append(key[order], np.uint64(2**64 - 1)), np.append(x[order], 0.0)
+            for at, block in held[_ASKED]:
+                asked, n, who, times = _unpack(block)
+                place = np.searchsorted(key, asked)
+                value = np.repeat(np.where(key[place] == asked, x[place], 0.0), n)
+                sums = np.bincount(who, value * np.where(times % 2, -(times + 1) // 2, times // 2))
+                docs_ = np.nonzero(sums)[0]
+                rows.append((0, _ASKED, at, _pack(docs_, sums[docs_])))
+        return _rows(rows, _BLOCKS)
+
+    def add(t: pa.Table) -> pa.Table:
+        held = _of_kinds(t)
+        head = pa.ipc.open_stream(held[_HEADER][0][1]).read_all()
+        part = head.column("__part").to_numpy().copy()
+        for _, block in held.get(_ASKED, ()):
+            docs_, sums = _unpack(block)
+            part[docs_] += sums
+        return head.set_column(head.num_columns - 1, "__part", pa.array(part))
+
+    asked = map_arrow(docs.select(*passed, "text"), ask, _ROWS)
+    return materialize(_by(_by(asked.unionByName(model.rows(share)), "bucket", answer, _ROWS), "at", add, schema), "sums")
+
+
+def score(docs: DataFrame, model: Model, passed: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """Written down: the columns `passed` (longs or strings, none changed) for each row of docs, with `__words` and `__log10p`, the sum of the words' log10 probabilities."""
+    shared = _filed(model)
+    first, *others = [_share_of(docs, model, shared, k, () if k else passed) for k in range(SLICES)]
+    # Rows of one text have one sum in each share.
+    every = None
+    for k, other in enumerate(others):
+        one = other.filter("__words > 0").groupBy("__ta", "__tb").agg(F.max("__part").alias("more")).withColumn("share", F.lit(k))
+        every = one if every is None else every.unionByName(one)
+    out = first.withColumn("__log10p", F.col("__part"))
+    if every is not None:
+        every = every.groupBy("__ta", "__tb").agg(F.sum("more").alias("__more"))
+        out = first.join(every, ["__ta", "__tb"], "left").withColumn("__log10p", F.col("__part") + F.coalesce("__more", F.lit(0.0)))
+    scored = materialize(out.select(*passed, "__words", "__log10p"), "scored")
+    shared.unpersist()
+    forget(first, *others)
+    return scored
 
 
 def limits(scored: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: float = 20.0, least_docs: int = 30) -> DataFrame:
@@ -394,7 +701,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shape = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in ("doc_id", "lang", "text")])
     named = lambda seed: F.xxhash64(F.lit(seed), shape, "doc_id", "lang", "text")
     slim = docs.select("doc_id", "lang", "text", named(1).alias("__a"), named(2).alias("__b"))
-    scored = materialize(score(slim, model, ("doc_id", "lang", "__a", "__b")), "scored")
+    scored = score(slim, model, ("doc_id", "lang", "__a", "__b"))
     bounds = limits(scored, labels)
     gone = materialize(judge(scored, bounds).filter("not __kept").select("__a", "__b").distinct(), "gone")
     model.forget()
@@ -411,7 +718,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if model is None:
         return docs.select("doc_id", "lang", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("log10_perplexity"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    scored = materialize(score(docs, model), "scored")
+    scored = score(docs, model)
     model.forget()
     j = judge(scored, limits(scored, labels))
     plain = F.when(F.col("__words") > 0, -F.col("__log10p") / F.col("__words"))
