@@ -521,7 +521,10 @@ def _filed(model: Model) -> Broadcast:
         bits[k * longs : (k + 1) * longs] = np.frombuffer(own, np.uint64)
         keys.append(np.frombuffer(key, np.uint64))
         xs.append(np.frombuffer(x))
-    return model.words.sparkSession.sparkContext.broadcast(Filed(bits, longs, np.concatenate(keys), np.concatenate(xs)))
+    shared = model.words.sparkSession.sparkContext.broadcast(Filed(bits, longs, np.concatenate(keys), np.concatenate(xs)))
+    del found, bits, keys, xs, own, key, x
+    give_back()
+    return shared
 
 
 def _asked(h: np.ndarray, sizes: np.ndarray, filed: Filed, buckets: int, share: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
@@ -653,7 +656,7 @@ def score(docs: DataFrame, model: Model, passed: tuple[str, ...] = ("doc_id", "l
         every = every.groupBy("__ta", "__tb").agg(F.sum("more").alias("__more"))
         out = first.join(every, ["__ta", "__tb"], "left").withColumn("__log10p", F.col("__part") + F.coalesce("__more", F.lit(0.0)))
     scored = materialize(out.select(*passed, "__words", "__log10p"), "scored")
-    shared.unpersist()
+    shared.destroy()  # the driver's copy too
     forget(first, *others)
     return scored
 
