@@ -358,6 +358,18 @@ def test_queries_equal_their_sql(spark):
         assert sorted(repr(tuple(map(plain, r))) for r in df.collect()) == sorted(repr(tuple(map(plain, r))) for r in theirs.fetchall()), name
 
 
+def test_pipelines_line_dedup_runs_no_python(spark, docs_of, monkeypatch):
+    """Nor do the tables that it writes on the way: Python workers would add to the executors' memory."""
+    import corpus_pipeline as c
+    from veldt.llm import lines
+
+    plans, plain = [], lines.materialize
+    of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lines, "materialize", lambda df, name: (plans.append(of(df)), plain(df, name))[1])
+    plans.append(of(c.drop_repeated_lines(spark, docs_of([(1, "a b c\nd"), (2, "a b c\ne f")]), "")))
+    assert len(plans) > 3 and not any(word in plan for plan in plans for word in ("Arrow", "Python", "Pandas"))
+
+
 def test_pipeline_stages_take_any_table(spark, docs_of, monkeypatch):
     """Each stage over nulls, repeated rows, a very long text and columns of clashing names, and over an empty table."""
     import corpus_pipeline as c
